@@ -1 +1 @@
-
+"""Reading and writing: file scans, snapshots, catalogues, archives, case files, the answer store, reports."""
