@@ -137,3 +137,17 @@ def p7_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_containers, p2_fill, p3_found, p3_screen, p4_found, p4_entries, p4_totals, p5_ids, p6_mix, p6_shares, p7_found, p7_stretches)}
+
+
+_EBOOK = "regexp_extract(lower({0}), 'pg[^0-9a-z]*0*([0-9]+)', 1)"
+_PART = "regexp_extract(lower({0}), 'part[^0-9a-z]*0*([0-9]+)', 1)"
+_KEYS = f"{_EBOOK} AS ebook, {_PART} AS part"
+ORACLES = {
+    "p2_found": "SELECT DISTINCT arm, doc_id FROM documents, results_arms WHERE length(text) > capacity_chars AND arm IS NOT NULL",
+    "p4_found": f"SELECT m.entry_id FROM (SELECT entry_id, char_count, {_KEYS.format('path')} FROM corpus_manifest) m JOIN (SELECT text, {_KEYS.format('path')} FROM documents WHERE text IS NOT NULL) d ON m.ebook = d.ebook AND m.part = d.part WHERE m.ebook <> '' AND m.part <> '' AND m.char_count IS DISTINCT FROM length(d.text)",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of the queries that it can express over whole tables; the others are checked by brute force in the tests."""
+    return dict(ORACLES)
