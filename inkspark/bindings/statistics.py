@@ -75,10 +75,10 @@ def tail_sql(k: str, n: str) -> str:
     return f"(SELECT least(1.0, sum(exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2)))) FROM (SELECT unnest(range(0, ({n} - {k} + 1)::BIGINT)) AS i))"
 
 
-@query(f"WITH {L}, v AS (SELECT experiment, work, count(*) FILTER (a < b) AS b, count(*) FILTER (a > b) AS c, count(*) AS n FROM l GROUP BY 1, 2) SELECT experiment, work, b, c, n, CASE WHEN b + c = 0 THEN 1.0 ELSE round(least(1.0, 2 * {tail_sql('greatest(b, c)', '(b + c)')}), 6) END AS p FROM v")
+@query(f"WITH {L}, v AS (SELECT experiment, work, count(*) FILTER (a < b) AS b, count(*) FILTER (a > b) AS c, count(*) AS n FROM l GROUP BY 1, 2) SELECT experiment, work, b, c, n, CASE WHEN b + c = 0 THEN 1.0 ELSE round(least(1.0, 2 * {tail_sql('greatest(b, c)', '(b + c)')}), 9) END AS p FROM v")
 def stat_mcnemar(spark, d):
     v = _verdicts(spark, d, ["experiment", "work"])
-    return v.select("experiment", "work", "b", "c", "n", F.round(S.mcnemar_p(F.col("b"), F.col("c")), 6).alias("p"))
+    return v.select("experiment", "work", "b", "c", "n", F.round(S.mcnemar_p(F.col("b"), F.col("c")), 9).alias("p"))
 
 
 @query(f"WITH {L}, v AS (SELECT experiment, run_seed, count(*) FILTER (x > 0) AS k, count(*) AS n FROM l GROUP BY 1, 2) SELECT experiment, run_seed, k, n, round({tail_sql('greatest(k, n - k)', 'n')}, 6) AS p FROM v")
@@ -226,9 +226,9 @@ def agg_model_metrics(spark, d):
     return losses(spark, d).groupBy("experiment").agg(F.count("*").alias("documents"), F.sum("n").alias("characters"), F.round(nats, 6).alias("nats_per_character"), F.round(F.exp(nats), 4).alias("perplexity"), F.round(bits, 6).alias("bits_per_character"))
 
 
-@query(f"WITH {L} SELECT path, count(*) AS runs, round(avg(a), 6) AS first_bits, round(avg(b), 6) AS second_bits, max(n) AS characters FROM l GROUP BY 1")
+@query(f"WITH {L} SELECT path, count(*) AS runs, round(avg(a), 10) AS first_bits, round(avg(b), 10) AS second_bits, max(n) AS characters FROM l GROUP BY 1")
 def agg_document_losses(spark, d):
-    return losses(spark, d).groupBy("path").agg(F.count("*").alias("runs"), F.round(F.avg("a"), 6).alias("first_bits"), F.round(F.avg("b"), 6).alias("second_bits"), F.max("n").alias("characters"))
+    return losses(spark, d).groupBy("path").agg(F.count("*").alias("runs"), F.round(F.avg("a"), 10).alias("first_bits"), F.round(F.avg("b"), 10).alias("second_bits"), F.max("n").alias("characters"))
 
 
 @query(f"WITH {L}, c AS (SELECT CASE WHEN a < 1.8 THEN 'low' WHEN a < 2.1 THEN 'middle' ELSE 'high' END AS expected, CASE WHEN b < 1.8 THEN 'low' WHEN b < 2.1 THEN 'middle' ELSE 'high' END AS predicted FROM l), n AS (SELECT expected, predicted, count(*) AS n FROM c GROUP BY 1, 2), k AS (SELECT unnest(['low', 'middle', 'high']) AS class) SELECT class, sum(n) FILTER (expected = class)::BIGINT AS support, sum(n) FILTER (expected = class AND predicted = class)::BIGINT AS tp, round(sum(n) FILTER (expected = class AND predicted = class) / sum(n) FILTER (predicted = class), 6) AS precision, round(sum(n) FILTER (expected = class AND predicted = class) / sum(n) FILTER (expected = class), 6) AS recall FROM k, n GROUP BY 1")

@@ -20,7 +20,7 @@ def normal_document(text: Column) -> Column:
 
     Composition to NFC is a separate step (:func:`inkspark.functions.udfs.nfc`), since Spark has no expression for it.
     """
-    t = F.regexp_replace(line_endings(text), "(?m)[ \t]+$", "")
+    t = F.regexp_replace(line_endings(text), "(?md)[ \t]+$", "")
     return F.regexp_replace(F.regexp_replace(t, "\n{3,}", "\n\n"), r"\A\n+|\n+\z", "")
 
 
@@ -59,10 +59,19 @@ def planner_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda t: t != ""))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with ``value`` computed once: a lambda would compute what it captures anew for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def grams(tokens: Column, n: int, by: str = " ") -> Column:
     """All runs of n tokens in order, joined; empty below n tokens."""
-    at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), by))
+
+    def runs(t: Column) -> Column:
+        at = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(t, i, n), by))
+
+    return let(tokens, runs)
 
 
 def shingles(text: Column, n: int = 5) -> Column:
@@ -77,13 +86,17 @@ def chars(text: Column) -> Column:
 def char_repetition(text: Column, n: int, least: int = 4) -> Column:
     """1 - distinct / all character n-grams; null below ``least`` grams."""
     k = F.char_length(text) - n + 1
-    g = F.transform(F.sequence(F.lit(1), k), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(k >= least, 1 - F.size(F.array_distinct(g)) / k)
+
+    def ratio(c: Column) -> Column:
+        g = F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), ""))
+        return 1 - F.size(F.array_distinct(g)) / F.size(g)
+
+    return F.when(k >= least, let(chars(text), ratio))
 
 
 def distinct_ratio(tokens: Column, n: int, least: int = 8) -> Column:
     """Distinct / all word n-grams; null below max(least, n) words."""
-    return F.when(F.size(tokens) >= max(least, n), F.size(F.array_distinct(grams(tokens, n))) / (F.size(tokens) - n + 1))
+    return let(tokens, lambda t: F.when(F.size(t) >= max(least, n), F.size(F.array_distinct(grams(t, n))) / (F.size(t) - n + 1)))
 
 
 def sentences(text: Column) -> Column:

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspark.functions.text import let
+
 # Saturation and length weight of BM25, and the rank offset of reciprocal rank fusion.
 K1, B, RANK_OFFSET = 1.2, 0.75, 60
 
@@ -31,10 +33,12 @@ class LexicalIndex:
 
 def lexical_index(chunks: DataFrame, id_col: str, words: Column) -> LexicalIndex:
     """An inverted index. Chunks without a term count in n and with length 0; null ids are left out."""
-    tokens = chunks.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("chunk"), F.coalesce(words, F.array().cast("array<string>")).alias("w"))
-    lengths = tokens.select("chunk", F.size(F.array_distinct("w")).alias("len"))
-    tf = tokens.select("chunk", F.size(F.array_distinct("w")).alias("len"), F.explode("w").alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    return LexicalIndex(tf, tf.groupBy("term").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")))
+    c = chunks.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("chunk"), F.coalesce(words, F.array().cast("array<string>")).alias("w"))
+    # the length rides along in the generator: computed beside it, it would be computed anew for every term
+    with_length = let(F.col("w"), lambda w: let(F.size(F.array_distinct(w)), lambda n: F.transform(w, lambda t: F.struct(t.alias("term"), n.alias("len")))))
+    tf = c.select("chunk", F.explode(with_length).alias("x")).groupBy("chunk", "x.term").agg(F.count("*").alias("tf"), F.first("x.len").alias("len"))
+    size = c.select(F.size(F.array_distinct("w")).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    return LexicalIndex(tf, tf.groupBy("term").agg(F.count("*").alias("df")), size)
 
 
 def bm25(index: LexicalIndex, queries: DataFrame, query_col: str, words: Column, k: int = 5, sources: DataFrame | None = None) -> DataFrame:

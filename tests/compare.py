@@ -18,7 +18,7 @@ def plain(v):
         f = float(v)
         if math.isnan(f):
             return "nan"
-        return round(f, 6) + 0.0
+        return round(f, 9) + 0.0
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, (list, tuple)):
