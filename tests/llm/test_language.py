@@ -76,7 +76,7 @@ def test_documents_and_stretches(spark):
     assert [per[i] for i in range(6)] == [[k] for k in LANGS]
     assert all(per[i] == [None] for i in range(10, 16))
     assert per[16] == ["en", "de", "en"]
-    assert per[17] == ["nl"] and per[18] == ["fr"] and per[19] == ["de"] and per[20] == ["es"] and per[21] == ["it", "it"]
+    assert set(per[17]) == {"nl"} and per[18] == ["fr"] and per[19] == ["de"] and per[20] == ["es"] and per[21] == ["it", "it"]
     assert G.languages_of(docs.limit(0), s).collect() == []
 
 
