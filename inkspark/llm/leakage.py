@@ -98,29 +98,29 @@ def tiles(a: list[int], b: list[int], least: int = 2) -> list[tuple[int, int, in
 def holds_passage(item: np.ndarray, text: np.ndarray, words: int = 12, per: int = 6) -> bool:
     """Whether a stretch of ``text`` is a passage of at least ``words`` successive words of ``item`` with at most one edit in ``per``.
 
-    Edits are words altered, missing or added. It is enough to look at the passages of each length words, words + per, ... below
-    2 * words: a longer one falls into such parts of which one has no more edits in proportion, and a length between has
-    the edits of the one below.
+    Edits are words altered, missing or added. A passage starts and ends with words that the text holds, since words missing
+    at an end only make a quotation shorter. All starts are aligned at once, a row of edits against every end in the text.
     """
     m, w = len(item), len(text)
     if m < words or not w:
         return False
-    lengths = [n for n in range(words, 2 * words) if n % per == 0 or n == words]
+    far = np.int16(10_000)
     differ = (item[:, None] != text[None, :]).astype(np.int16)
-    starts = m - words + 1
-    d = np.zeros((starts, w + 1), np.int16)  # edits of the first j words from each start against text ending here
+    d = np.full((m - words + 1, w + 1), far, np.int16)
+    d[:, 1:][differ[: m - words + 1] == 0] = 0  # the first word is held
     steps = np.arange(w + 1, dtype=np.int16)
-    for j in range(max(lengths)):
-        rows = min(starts, m - j)
-        if rows <= 0:
-            return False
-        d = d[:rows]
+    d = np.minimum.accumulate(d - steps, axis=1) + steps
+    for n in range(2, m + 1):
+        d = d[: min(len(d), m - n + 1)]
+        other = differ[n - 1 : n - 1 + len(d)]
+        if n >= words and (d[:, :-1] + other * far).min() <= n // per:
+            return True
         new = np.empty_like(d)
-        new[:, 0] = j + 1
-        np.minimum(d[:, :-1] + differ[j : j + rows], d[:, 1:] + 1, out=new[:, 1:])
+        new[:, 0] = far
+        np.minimum(d[:, :-1] + other, d[:, 1:] + 1, out=new[:, 1:])
         d = np.minimum.accumulate(new - steps, axis=1) + steps
-        if j + 1 in lengths and d.min() <= (j + 1) // per:
-            return True
+        if d.min() > m // per:
+            return False
     return False
 
 

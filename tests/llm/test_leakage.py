@@ -13,18 +13,23 @@ W = GOOD.replace(",", "").split()
 
 
 def edits(a, b):
-    """Least edits of a against any stretch of b."""
-    row = [0] * (len(b) + 1)
+    row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
             new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
         row = new
-    return min(row)
+    return row[-1]
 
 
 def brute(item, text):
-    return any(edits(item[i : i + n], text) <= n // 6 for n in range(12, len(item) + 1) for i in range(len(item) - n + 1))
+    for i in range(len(item)):
+        for n in range(12, len(item) - i + 1):
+            for s in (k for k, x in enumerate(text) if x == item[i]):
+                for e in (k for k, x in enumerate(text) if k > s and x == item[i + n - 1]):
+                    if abs(e - s + 1 - n) <= n // 6 and edits(item[i + 1 : i + n - 1], text[s + 1 : e]) <= n // 6:
+                        return True
+    return False
 
 
 def test_passage_check_is_that_of_all_windows():
