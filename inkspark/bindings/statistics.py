@@ -75,10 +75,10 @@ def tail_sql(k: str, n: str) -> str:
     return f"(SELECT least(1.0, sum(exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2)))) FROM (SELECT unnest(range(0, ({n} - {k} + 1)::BIGINT)) AS i))"
 
 
-@query(f"WITH {L}, v AS (SELECT experiment, work, count(*) FILTER (a < b) AS b, count(*) FILTER (a > b) AS c, count(*) AS n FROM l GROUP BY 1, 2) SELECT experiment, work, b, c, n, CASE WHEN b + c = 0 THEN 1.0 ELSE round(least(1.0, 2 * {tail_sql('greatest(b, c)', '(b + c)')}), 9) END AS p FROM v")
+@query(f"WITH {L}, v AS (SELECT experiment, work, count(*) FILTER (a < b) AS b, count(*) FILTER (a > b) AS c, count(*) AS n FROM l GROUP BY 1, 2) SELECT experiment, work, b, c, n, CASE WHEN b + c = 0 THEN 1.0 ELSE round(least(1.0, 2 * {tail_sql('greatest(b, c)', '(b + c)')}) + 1e-11, 6) END AS p FROM v")
 def stat_mcnemar(spark, d):
     v = _verdicts(spark, d, ["experiment", "work"])
-    return v.select("experiment", "work", "b", "c", "n", F.round(S.mcnemar_p(F.col("b"), F.col("c")), 9).alias("p"))
+    return v.select("experiment", "work", "b", "c", "n", F.round(S.mcnemar_p(F.col("b"), F.col("c")) + 1e-11, 6).alias("p"))
 
 
 @query(f"WITH {L}, v AS (SELECT experiment, run_seed, count(*) FILTER (x > 0) AS k, count(*) AS n FROM l GROUP BY 1, 2) SELECT experiment, run_seed, k, n, round({tail_sql('greatest(k, n - k)', 'n')}, 6) AS p FROM v")

@@ -240,3 +240,13 @@ def embed(tokens: list[str], dimension: int = 64, seed: str = "0") -> list[float
 @batched("array<double>")
 def hash_embedding(text: pd.Series) -> pd.Series:
     return text.map(lambda t: embed(re.findall(r"\w+", (t or "").casefold())))
+
+
+@batched("length int, times int")
+def block(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([repeated_block(t or "") for t in text], columns=["length", "times"])
+
+
+@batched("array<int>")
+def piece_lengths(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: [len(p) for p in split_oversized(t or "", 2000)])

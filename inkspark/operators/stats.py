@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import pandas as pd
@@ -145,7 +146,7 @@ def classify_difference(difference: Column, central: Column, upper: Column) -> C
 
 
 def _bisect(f, target: float, low: float, high: float) -> float:
-    for _ in range(200):
+    for _ in range(100):
         mid = (low + high) / 2
         low, high = (mid, high) if f(mid) < target else (low, mid)
     return (low + high) / 2
@@ -178,6 +179,7 @@ def _gamma_cdf(a: float, x: float) -> float:
     return 1 - front * h
 
 
+@functools.lru_cache(4096)
 def chi_square_quantile(p: float, degrees: int) -> float:
     return _bisect(lambda x: _gamma_cdf(degrees / 2, x / 2), p, 0.0, 10.0 * degrees + 200)
 
@@ -186,12 +188,13 @@ def _t_cdf(t: float, n: int) -> float:
     """Student's distribution, by Simpson's rule over the angle; exact enough for any n."""
     c = math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(math.pi)
     top = math.atan(t / math.sqrt(n))
-    k = 2000
+    k = 600
     h = top / k
     s = sum((1 if i in (0, k) else 4 if i % 2 else 2) * math.cos(i * h) ** (n - 1) for i in range(k + 1))
     return 0.5 + c * s * h / 3
 
 
+@functools.lru_cache(4096)
 def t_quantile(p: float, degrees: int) -> float:
     return -t_quantile(1 - p, degrees) if p < 0.5 else _bisect(lambda x: _t_cdf(x, degrees), p, 0.0, 1e4)
 
