@@ -82,11 +82,11 @@ def design_effect(items: DataFrame, by: list[str], cluster: str, difference: str
 
 def jackknife(clusters: DataFrame, by: list[str], weighted: str, weight: str) -> DataFrame:
     """(by, clusters, estimate, minimum_without, maximum_without, standard_error) from per-cluster sums of weighted values and weights."""
-    whole = clusters.groupBy(*by).agg(F.sum(weighted).alias("sw"), F.sum(weight).alias("w"))
-    out = clusters.join(whole, by).withColumn("without", (F.col("sw") - F.col(weighted)) / (F.col("w") - F.col(weight)))
+    whole = clusters.groupBy(*by).agg(F.sum(weighted).alias("_whole"), F.sum(weight).alias("_weight"))
+    out = clusters.join(whole, by).withColumn("without", (F.col("_whole") - F.col(weighted)) / (F.col("_weight") - F.col(weight)))
     n = F.count("without")
     se = F.sqrt((n - 1) / n * (F.var_pop("without") * n))
-    return out.groupBy(*by).agg(n.alias("clusters"), F.round(F.first("sw") / F.first("w"), 6).alias("estimate"), F.round(F.min("without"), 6).alias("minimum_without"), F.round(F.max("without"), 6).alias("maximum_without"), F.round(se, 6).alias("standard_error"))
+    return out.groupBy(*by).agg(n.alias("clusters"), F.round(F.first("_whole") / F.first("_weight"), 6).alias("estimate"), F.round(F.min("without"), 6).alias("minimum_without"), F.round(F.max("without"), 6).alias("maximum_without"), F.round(se, 6).alias("standard_error"))
 
 
 def bootstrap(clusters: DataFrame, by: list[str], cluster: str, weighted: str, weight: str, draws: int = 1000, seed: int = 7, probability: float = 0.95) -> DataFrame:
