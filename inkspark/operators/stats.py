@@ -110,18 +110,24 @@ def bootstrap(clusters: DataFrame, by: list[str], cluster: str, weighted: str, w
 def sign_flip(clusters: DataFrame, value: str, exact: int = 15, draws: int = 10_000, seed: int = 7) -> DataFrame:
     """One row (clusters, p_value, exact): two-sided randomization test over one sign per cluster.
 
-    Up to ``exact`` + 1 clusters every assignment is enumerated; above, signs are drawn by a seeded hash. Assignments meet the
-    clusters by explosion of each cluster, so the work is spread over the clusters and pre-aggregated per assignment.
+    Up to ``exact`` + 1 clusters every assignment is enumerated, the clusters numbered by one order, as they are few; above, signs
+    are drawn by a seeded hash of the column ``cluster``, or of all columns if there is none, so no order is needed. Assignments
+    meet the clusters by explosion of each cluster, so the work is spread over the clusters and pre-aggregated per assignment.
     """
-    w = Window.orderBy(F.col(value), F.col("cluster")) if "cluster" in clusters.columns else Window.orderBy(value)
-    c = clusters.select(value, (F.row_number().over(w) - 1).alias("i"))
-    n, total = c.agg(F.count("*"), F.sum(value)).first()
+    n, total = clusters.agg(F.count("*"), F.sum(value)).first()
+    spark = clusters.sparkSession
     if not n:
-        return c.sparkSession.createDataFrame([(0, 1.0, True)], "clusters bigint, p_value double, exact boolean")
+        return spark.createDataFrame([(0, 1.0, True)], "clusters bigint, p_value double, exact boolean")
+    names = ["cluster"] if "cluster" in clusters.columns else clusters.columns
     full = n - 1 <= exact
     m = 1 << (n - 1) if full else draws
+    if full:
+        c = clusters.select(value, (F.row_number().over(Window.orderBy(value, *names)) - 1).alias("i"))
+        flip = F.when(F.col("i") == 0, 0).otherwise(F.expr("shiftright(a, i - 1) & 1"))
+    else:
+        c = clusters.select(value, F.xxhash64(F.lit(seed), *names).alias("i")).repartition(spark.sparkContext.defaultParallelism, "i")
+        flip = F.pmod(F.xxhash64(F.lit(seed), "a", "i"), F.lit(2))
     x = c.select(value, "i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("a"))
-    flip = (F.when(F.col("i") == 0, 0).otherwise(F.expr("shiftright(a, i - 1) & 1"))) if full else F.pmod(F.xxhash64(F.lit(seed), "a", "i"), F.lit(2))
     s = x.groupBy("a").agg(F.abs(F.sum(F.when(flip == 1, -F.col(value)).otherwise(F.col(value)))).alias("s"))
     extreme = F.count_if(F.col("s") >= abs(total) - SLACK)
     p = extreme / m if full else (1 + extreme) / (1 + m)

@@ -4,10 +4,14 @@ import itertools
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
+from compare import connect
 from pyspark.sql import functions as F
 
+from inkspark.bindings import QUERIES, SQL
+from inkspark.bindings.statistics import losses
 from inkspark.functions import text as T
 from inkspark.functions import udfs as U
 from inkspark.operators import duplicates as D
@@ -144,6 +148,31 @@ def test_design_effect_jackknife_and_sign_flip(spark):
     assert Z.sign_flip(c, "v").first()["p_value"] == p
 
 
+def test_sign_flip_beyond_enumeration(spark):
+    rng = random.Random(3)
+    vals = [rng.gauss(0.3, 1) for _ in range(18)]
+    sums = [0.0]
+    for v in vals:
+        sums = [s + e for s in sums for e in (v, -v)]
+    p = sum(abs(s) >= abs(sum(vals)) - 1e-12 for s in sums) / len(sums)
+    df = spark.createDataFrame(list(enumerate(vals)), "cluster int, v double")
+    r = Z.sign_flip(df, "v").first()
+    assert (r["clusters"], r["exact"]) == (18, False) and abs(r["p_value"] - p) < 0.02
+    assert Z.sign_flip(df.repartition(3), "v").first() == r
+
+
+def test_sign_flip_query_takes_all_works(spark):
+    d = "/root/testdata/sf0.001"
+    if not Path(d).exists():
+        pytest.skip("no tables here")
+    t = losses(spark, d)
+    r = QUERIES["stat_sign_flip"](spark, d).first()
+    n = t.select("work").distinct().count()
+    assert (r["clusters"], r["exact"]) == (n, n <= 16)
+    runs = t.where(F.col("experiment").isin("X301", "X302", "X303")).groupBy(F.concat_ws("-", "experiment", F.coalesce("run_seed", F.lit(0)).cast("string")).alias("cluster")).agg(F.round(F.sum("x"), 9).alias("v"))
+    assert tuple(Z.sign_flip(runs, "v").first()) == connect(d).execute(SQL["stat_sign_flip"]).fetchone()
+
+
 def test_bootstrap_covers_the_mean(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([("e", i, rng.gauss(1, 1), 1.0) for i in range(60)], "e string, w int, a double, b double")
