@@ -8,6 +8,7 @@ import re
 import unicodedata
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 
 from inkspark.functions.arrow import batched
@@ -37,17 +38,79 @@ def tail_period(text: str, least: int = 1, repeats: int = 3) -> int:
     return 0
 
 
-def periodic_run(text: str, least: int = 2, most: int = 64) -> tuple[int, int]:
-    """(repeats, period) of the block of ``least`` to ``most`` characters that is repeated most in a row; ties to the longer."""
-    best = (1, 0)
-    n = len(text)
-    for p in range(least, min(most, n // 2) + 1):
-        run = 0
-        for i in range(p, n):
-            run = run + 1 if text[i] == text[i - p] else 0
-            if run and run // p + 1 >= best[0] and run >= p:
-                best = max(best, (run // p + 1, p))
-    return best
+_SHORT, _GRAM = 64, 16  # periods below are compared over the whole text; codes of _GRAM characters find those above
+
+
+def _same(text: str, a: int, b: int, back: bool = False) -> int:
+    """How many characters from ``a`` and ``b`` on (or before them) agree, ``a`` before ``b``: slices that grow, then halve."""
+    n, size = 0, 32
+    most = a if back else len(text) - b
+    while n < most:
+        k = min(size, most - n)
+        if (text[a - n - k : a - n] == text[b - n - k : b - n]) if back else (text[a + n : a + n + k] == text[b + n : b + n + k]):
+            n, size = n + k, size * 2
+        elif k == 1:
+            break
+        else:
+            most, size = n + k - 1, max(1, k // 2)
+    return n
+
+
+def periodic_run(text: str) -> tuple[int, int]:
+    """(repeats, period) of the block of any length that is repeated most in a row, (1, 0) without any; ties to the longer.
+
+    A block of length p that comes k times in a row is a stretch of (k - 1) p characters that agree with those p later. Short
+    periods are compared over the whole text. A stretch of a longer one holds a multiple of p with agreement over p after it
+    (k > 2), or over half of p after or before it (k = 2): only multiples at which codes of characters agree are looked at,
+    n log n in all, and each by exact comparison. Periods that can't reach the best so far are left out.
+    """
+    n, best, period = len(text), 1, 0
+    a = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    p = 1
+    while p < _SHORT and p <= n // max(best, 2):
+        if b"\1" * ((max(best, 2) - 1) * p) in (a[p:] == a[:-p]).tobytes():
+            differ = np.flatnonzero(a[p:] != a[:-p])
+            best, period = int(np.diff(differ, prepend=-1, append=n - p).max() - 1) // p + 1, p
+        p += 1
+    if n // max(best, 2) < _SHORT:
+        return best, period
+    code, size = a.astype(np.uint64), 1
+    while size < _GRAM:
+        code = code[:-size] * np.uint64(pow(0x9E3779B97F4A7C15, size, 1 << 64)) + (code[size:] ^ (code[size:] >> np.uint64(29)))
+        size *= 2
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    j = 0
+    while (top := min(n // max(best, 2), (n - _GRAM) // (j + 1))) >= _SHORT:
+        ps = np.arange(_SHORT, top + 1)
+        at = j * ps
+        hit = code[at] == code[at + ps]
+        if best <= 2 and j:
+            hit |= code[at - _GRAM] == code[at + ps - _GRAM]
+        if hit.any():
+            found.append((ps[hit], at[hit]))
+        j += 1
+    if best <= 2:  # the last multiple may have no room for a code after it
+        ps = np.arange(_SHORT, n // 2 + 1)
+        at = (n // ps - 1) * ps
+        hit = code[at - _GRAM] == code[at + ps - _GRAM]
+        hit &= at >= _GRAM
+        found.append((ps[hit], at[hit]))
+    if not found:
+        return best, period
+    ps, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    done = (0, 0)  # the period looked at and where its last stretch ends
+    for i in np.lexsort((at, ps)):
+        p, q = int(ps[i]), int(at[i])
+        if p > n // max(best, 2):
+            break
+        if done[0] == p and q < done[1]:
+            continue
+        after = _same(text, q, q + p)
+        k = (after + _same(text, q, q + p, back=True)) // p + 1
+        done = p, q + after
+        if k >= max(best, 2):
+            best, period = k, p
+    return best, period
 
 
 def repeated_block(text: str) -> tuple[int, int]:
@@ -95,17 +158,10 @@ def loops(text: pd.Series) -> pd.DataFrame:
     rows = []
     for t in text:
         t = " ".join((t or "").split())
-        rows.append((tail_period(t), _runs(t), t.count("�")))
+        rows.append((tail_period(t), periodic_run(t)[0], t.count("�")))
     return pd.DataFrame(rows, columns=["tail_period", "periodic_repeats", "replacement_chars"])
 
 
-_RUN = re.compile(r"(.{2,64}?)\1+", re.S)
-
-
-def _runs(text: str) -> int:
-    return max((len(m[0]) // len(m[1]) for m in _RUN.finditer(text)), default=1)
-
-
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
 
 

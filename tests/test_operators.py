@@ -173,6 +173,33 @@ def test_sign_flip_query_takes_all_works(spark):
     assert tuple(Z.sign_flip(runs, "v").first()) == connect(d).execute(SQL["stat_sign_flip"]).fetchone()
 
 
+def brute_run(text):
+    best = (1, 0)
+    for start in range(len(text)):
+        for p in range(1, (len(text) - start) // 2 + 1):
+            k = 1
+            while text[start + k * p : start + (k + 1) * p] == text[start : start + p]:
+                k += 1
+            if k > 1:
+                best = max(best, (k, p))
+    return best
+
+
+def test_periodic_runs_against_brute_force():
+    sentence = "The quick brown fox jumps over the lazy dog while nobody in town is there. "
+    assert len(sentence.strip()) > 64 and U.periodic_run((sentence * 5).strip()) == (4, len(sentence))
+    assert U.periodic_run("a" * 9) == (9, 1) and U.periodic_run("cacabcabcab") == (3, 3) and U.periodic_run("") == (1, 0)
+    rng = random.Random(5)
+    for _ in range(400):
+        text = "".join(rng.choices("abcdefgh"[: rng.randint(1, 8)], k=rng.randint(0, 60)))
+        assert U.periodic_run(text) == brute_run(text)
+    for _ in range(80):
+        letters = [chr(c) for c in range(0x1F600, 0x1F600 + 200)]
+        block = rng.sample(letters, rng.randint(40, 110))
+        text = "".join(rng.sample(letters, rng.randint(0, 90)) + block * rng.choice((1, 2, 2, 3)) + block[: rng.randint(0, 40)] + rng.sample(letters, rng.randint(0, 60)))
+        assert U.periodic_run(text) == brute_run(text)
+
+
 def test_bootstrap_covers_the_mean(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([("e", i, rng.gauss(1, 1), 1.0) for i in range(60)], "e string, w int, a double, b double")
