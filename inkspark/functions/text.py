@@ -101,7 +101,7 @@ def distinct_ratio(tokens: Column, n: int, least: int = 8) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences as claims: parted after ``.``, ``!`` or ``?`` with white space behind, trimmed, none empty."""
-    parts = F.split(F.regexp_replace(text, r"([.!?])[ \t\n\r]+", "$1\x00"), "\x00")
+    parts = F.split(text, r"(?<=[.!?])[ \t\n\r]+")
     return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^[ \t\n\r]+|[ \t\n\r]+$", "")), lambda s: s != "")
 
 

@@ -1,8 +1,10 @@
 """Hand-derived numbers and brute force on small tables."""
 
+import hashlib
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -200,6 +202,18 @@ def test_periodic_runs_against_brute_force():
         assert U.periodic_run(text) == brute_run(text)
 
 
+def test_claims_of_texts_with_control_characters(spark, tmp_path):
+    texts = ["One\x07 here. Two.\n Three!\tFour? \x07", "No\x00 mark. Here", "Plain. Text"]
+    spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)] + [(9, None, "p")], "doc_id bigint, text string, path string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in QUERIES["claims_sentence"](spark, str(tmp_path)).collect()}
+    parts = [[c.strip(" \t\n\r") for c in re.split(r"(?<=[.!?])[ \t\n\r]+", t)] for t in texts]
+    assert parts[0] == ["One\x07 here.", "Two.", "Three!", "Four?", "\x07"]
+    claims = [(i, k, c) for i, p in enumerate(parts) for k, c in enumerate(c for c in p if c)]
+    sha = lambda i, k, c: "clm_" + hashlib.sha256(f"{i}\x1f{k}\x1f{c}".encode()).hexdigest()[:16]
+    assert got == {(i, k, sha(i, k, c)) for i, k, c in claims}
+    assert {r for r in got if r[0] == 2} == set(connect(str(tmp_path)).execute(f"SELECT * FROM ({SQL['claims_sentence']}) WHERE doc_id = 2").fetchall())
+
+
 def test_bootstrap_covers_the_mean(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([("e", i, rng.gauss(1, 1), 1.0) for i in range(60)], "e string, w int, a double, b double")
