@@ -77,10 +77,16 @@ def url_scheme_allowed(spark, d):
 
 @query("SELECT event_id, a IN (0, 10, 127) OR a >= 224 AS blocked FROM (SELECT event_id, event_id % 256 AS a FROM events) WHERE a IN (0, 10, 127, 11, 55, 224, 255)")
 def url_blocked_destination(spark, d):
-    """Addresses made from event ids: first numbers whose whole range is either local or global."""
-    a = (F.col("event_id") % 256).cast("int")
-    e = table(spark, d, "events").where(a.isin(0, 10, 127, 11, 55, 224, 255)).select("event_id", T.blocked_host(F.concat(a.cast("string"), F.lit(".1.2.3"))).alias("blocked"))
-    return e
+    """Two addresses of every event, of four numbers and of the sixth version, with all their digits from the id, the hosts of the
+    catalogue and the names that are refused; hosts that are no event's have no event_id. The SQL covers seven first numbers only."""
+    low = lambda k: F.shiftright("event_id", k)
+    four = F.concat_ws(".", *[(low(k) % 256).cast("string") for k in (0, 8, 16, 24)])
+    six = F.concat(F.lower(F.concat_ws(":", *[F.hex(low(k) % 65536) for k in (0, 16)])), F.lit("::1"))
+    events = table(spark, d, "events").where("event_id is not null").select("event_id", F.explode(F.array(four, six)).alias("host"))
+    listed = table(spark, d, "catalogue").where("url is not null").select(T.url_host(F.col("url")).alias("host")).where("host is not null").distinct()
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in ("localhost", "metadata", "metadata.google.internal")])).alias("host"))
+    hosts = events.unionByName(listed.unionByName(names).distinct().select(F.lit(None).cast("bigint").alias("event_id"), "host"))
+    return hosts.select("event_id", "host", T.blocked_host(F.col("host")).alias("blocked"))
 
 
 @query(f"WITH {_SPLIT} SELECT side, bit_xor(('0x' || substr(sha256(text), 1, 15))::BIGINT) AS mark, count(*) AS n FROM side JOIN documents USING (doc_id) GROUP BY 1")

@@ -178,7 +178,9 @@ def blocked_host(host: Column) -> Column:
     a, b, c, _ = n
     private = a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
     named = h.isin("localhost", "metadata", "metadata.google.internal", "localhost.localdomain") | h.endswith(".localhost") | h.endswith(".local") | h.endswith(".internal")
-    six = h.contains(":") & ~h.rlike("^[23][0-9a-f]{3}:")
+    # global unicast is 2000::/3 without 2001::/23 (but for the parts of it that are global), 2001:db8::/32 and 2002::/16
+    local = h.rlike("^(2001:(:|0{0,2}[0-9a-f]{1,2}:|0?1[0-9a-f]{2}:|0?db8:)|2002:)") & ~h.rlike("^2001:(0{0,3}1::[12]$|0{0,3}3:|0{0,3}4:0?112:|0{0,2}[23][0-9a-f]:)")
+    six = h.contains(":") & (~h.rlike("^[23][0-9a-f]{3}:") | local)
     return F.coalesce(named | six | F.coalesce(private, F.lit(False)), F.lit(True))
 
 

@@ -1,6 +1,7 @@
 """Hand-derived numbers and brute force on small tables."""
 
 import hashlib
+import ipaddress
 import itertools
 import math
 import random
@@ -86,6 +87,24 @@ def test_blocked_hosts(spark, host, blocked):
     assert one(spark, host, T.blocked_host) is blocked
 
 
+def test_blocked_destinations_of_all_events(spark, tmp_path):
+    ids = [*range(300), 172 + 20 * 256, 172 + 32 * 256, 192 + 168 * 256, 169 + 254 * 256, 100 + 64 * 256, 100 + 128 * 256, 8 + 8 * 256 + (8 << 16) + (8 << 24), 198 + 51 * 256 + (100 << 16), 0xFC00, 0xFE80, 0xFF02, 0x2606, 0x2001 + (0xDB8 << 16), 0x2001 + (0x1FF << 16), 0x2001 + (0x200 << 16), 0x2002, *[0x2001 + (g << 16) for g in (1, 2, 3, 4, 0x10, 0x1F, 0x20, 0x3F, 0x40, 0x4860)]]
+    spark.createDataFrame([(i,) for i in ids], "event_id bigint").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([("https://shelf.example/a.txt",), (None,)], "url string").write.parquet(str(tmp_path / "catalogue.parquet"))
+    rows = QUERIES["url_blocked_destination"](spark, str(tmp_path)).collect()
+    names = {r["host"]: r["blocked"] for r in rows if r["event_id"] is None}
+    assert names == {"shelf.example": False, "localhost": True, "metadata": True, "metadata.google.internal": True}
+    at = [r for r in rows if r["event_id"] is not None]
+    assert sorted(r["event_id"] for r in at) == sorted(ids * 2)
+    for r in at:
+        x = ipaddress.ip_address(r["host"])
+        unassigned = x.version == 6 and x not in ipaddress.ip_network("2000::/3")
+        assert r["blocked"] is (unassigned or x.is_multicast or not x.is_global), r
+    four = {(r["event_id"], r["blocked"]) for r in at if ":" not in r["host"]}
+    assert set(connect(str(tmp_path)).execute(SQL["url_blocked_destination"]).fetchall()) <= four
+    assert {(172 + 20 * 256, True), (172 + 32 * 256, False), (192 + 168 * 256, True), (8 + 8 * 256 + (8 << 16) + (8 << 24), False)} <= four
+
+
 def test_paragraph_documents_are_never_cut(spark):
     text = "a" * 5 + "\n\n" + "b" * 5 + "\r\n \r\n" + "c" * 30 + "\n\nd"
     assert one(spark, text, lambda c: T.paragraph_documents(c, 12)) == ["aaaaa\n\nbbbbb", "c" * 30, "d"]
