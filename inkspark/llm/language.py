@@ -271,7 +271,8 @@ class Reader:
                 v = sorted(s.tolist())
                 if (s[lang] - (v[len(v) // 2] + v[(len(v) - 1) // 2]) / 2) / (b - a) < self.least_evidence:
                     continue
-                if len(set(ids[starts[i] + a : starts[i] + min(b, a + 200)].tolist())) < self.least_distinct:
+                words = ids[starts[i] + a : starts[i] + b]  # mostly its first ones hold enough kinds
+                if len(set(words[:200].tolist())) < self.least_distinct and len(set(words.tolist())) < self.least_distinct:
                     continue
                 out[i].append((lang, a, b - a, 1.0 / sum(math.exp(max(-700.0, min(700.0, x - s[lang]))) for x in v)))
         return out

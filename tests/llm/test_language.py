@@ -57,6 +57,13 @@ def test_viterbi_is_that_of_one_text(model):
         assert len(p) == len(e) and np.isclose(value(e, p.tolist()), value(e, plain(e)))
 
 
+def test_few_kinds_of_words_at_the_start_hide_no_stretch(model):
+    filler = "the house " * 110
+    tail = SAMPLES["en"]
+    got = G.Reader(model).read([filler + tail, filler])
+    assert [(LANGS[s[0]], s[1], s[2]) for s in got[0]] == [("en", 0, 220 + len(tail.split()))] and got[1] == []
+
+
 def test_documents_and_stretches(spark):
     s = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(SAMPLES.items())] + [(7, None, "x"), (8, "en", None)], "sample_id int, lang string, text string")
     rows = [(i, SAMPLES[k], k) for i, k in enumerate(LANGS)]
