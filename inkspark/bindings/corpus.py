@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from inkspark.bindings.text import LOWER, WORDS
+from inkspark.bindings.text import LOWER, TOKENS, WORDS, grams_sql
 from inkspark.functions import notation as N
 from inkspark.functions import text as T
 from inkspark.operators import duplicates as D
+from inkspark.operators import digests as G
 from inkspark.operators import selection as S
 from inkspark.plans.registry import query, table
+from inkspark.sources import stores as K
 
 
 def docs(spark, d):
@@ -48,26 +50,42 @@ def sketch_bottom_k(spark, d):
     return D.bottom_k(docs(spark, d), "doc_id", T.shingles(F.col("text"), 5))
 
 
+def reissued(spark, d):
+    """(doc_id, w): the tokens of every text and, under -doc_id - 1, the same without one of them: near duplicates to be found."""
+    t = docs(spark, d).select("doc_id", T.blank_tokens(F.col("text")).alias("w"))
+    place = F.try_mod("doc_id", F.size("w").cast("bigint")).cast("int")
+    copy = t.withColumn("gone", place).select((-F.col("doc_id") - 1).alias("doc_id"), F.concat(F.slice("w", F.lit(1), F.coalesce("gone", F.lit(0))), F.slice("w", F.coalesce("gone", F.lit(0)) + 2, F.greatest(F.size("w"), F.lit(1)))).alias("w"))
+    return t.unionByName(copy)
+
+
+_REISSUED = f"""w AS (SELECT doc_id, {TOKENS} AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, w FROM w UNION ALL SELECT -doc_id - 1, list_filter(w, lambda x, i: i <> doc_id % len(w) + 1) FROM w),
+ gs AS (SELECT doc_id, list_sort(list_distinct({grams_sql('w', 5)})) AS g FROM p), reps AS (SELECT min(doc_id) AS rep, g FROM gs WHERE len(g) > 0 GROUP BY g), x AS (SELECT rep, len(g) AS n, unnest(g) AS s FROM reps),
+ c AS (SELECT a.rep AS a, b.rep AS b, count(*) AS n, any_value(a.n) + any_value(b.n) - count(*) AS u FROM x a JOIN x b ON a.s = b.s AND a.rep < b.rep GROUP BY 1, 2), pairs AS (SELECT a, b, round(n / u + 1e-11, 6) AS similarity FROM c WHERE n >= 0.8 * u - 1e-9)"""
+
+
 def _sets(spark, d):
-    return D.representatives(docs(spark, d), "doc_id", T.shingles(F.col("text"), 5))
+    return D.representatives(reissued(spark, d), "doc_id", T.grams(F.col("w"), 5))
 
 
-@query()
+@query(f"WITH {_REISSUED} SELECT a, b, similarity FROM pairs")
 def neardup_jaccard(spark, d):
-    """Pairs of class representatives with Jaccard similarity of five-word shingles of 0.8 or more."""
+    """Pairs of class representatives among texts and their reissues with Jaccard similarity of five-word shingles of 0.8 or more."""
     return D.similar_pairs(_sets(spark, d)[1])
 
 
-@query()
+@query(f"WITH {_REISSUED}, h AS (SELECT rep, substr(sha256(s), 1, 16) AS hash FROM x), sk AS (SELECT rep, hash FROM h QUALIFY row_number() OVER (PARTITION BY rep ORDER BY hash) <= 64), b AS (SELECT hash, count(*) AS n FROM sk GROUP BY 1), cp AS (SELECT x.rep AS a, y.rep AS b, count(*) AS shared, min(n) AS rarest FROM sk x JOIN sk y ON x.hash = y.hash AND x.rep < y.rep JOIN b ON b.hash = x.hash GROUP BY 1, 2) SELECT a, b, shared FROM cp WHERE shared >= 4 AND rarest <= 64")
 def neardup_candidates(spark, d):
-    """Representatives and how many others are similar to each."""
-    p = D.similar_pairs(_sets(spark, d)[1])
-    return p.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("partners"))
+    """Pairs of representatives that share four or more of the 64 least hashes of each, the screen before the whole sets are compared."""
+    members, _ = _sets(spark, d)
+    x = reissued(spark, d).join(members.where("id = rep").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    sketches = D.bottom_k(x, "doc_id", F.array_distinct(T.grams(F.col("w"), 5)))
+    return D.sketch_pairs(sketches, "doc_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {_REISSUED}, m AS (SELECT gs.doc_id, reps.rep FROM gs JOIN reps ON reps.g = gs.g), ed AS (SELECT a AS u, b AS v FROM pairs UNION ALL SELECT b, a FROM pairs), re AS (SELECT rep AS node, rep AS c FROM reps UNION SELECT ed.v, re.c FROM re JOIN ed ON ed.u = re.node), cc AS (SELECT node, min(c) AS c FROM re GROUP BY 1), li AS (SELECT u, count(*) AS n FROM ed GROUP BY 1), sc AS (SELECT c, max(similarity) AS score FROM (SELECT c, similarity FROM pairs JOIN cc ON cc.node = pairs.a UNION ALL SELECT c, 1.0 FROM m JOIN cc ON cc.node = m.rep GROUP BY c, m.rep HAVING count(*) > 1) GROUP BY 1) SELECT gs.doc_id, coalesce(cc.c, gs.doc_id) AS group, coalesce(li.n, 0) AS links, sc.score FROM gs LEFT JOIN m ON m.doc_id = gs.doc_id LEFT JOIN cc ON cc.node = m.rep LEFT JOIN li ON li.u = m.rep LEFT JOIN sc ON sc.c = cc.c")
 def neardup_groups(spark, d):
-    return D.near_duplicates(docs(spark, d), "doc_id", T.shingles(F.col("text"), 5))
+    """The class of every text and reissue, its links and the highest similarity in its class."""
+    return D.near_duplicates(reissued(spark, d), "doc_id", T.grams(F.col("w"), 5))
 
 
 _SPLIT = "n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL), o AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('7|' || doc_id)) AS p FROM documents WHERE text IS NOT NULL), side AS (SELECT doc_id, CASE WHEN p <= round_even(n * 0.15, 0) THEN 'test' WHEN p <= 2 * round_even(n * 0.15, 0) THEN 'validation' ELSE 'train' END AS side FROM o, n)"
@@ -93,19 +111,23 @@ def split_leakage(spark, d):
     return S.leakage(x, "source", "side")
 
 
-@query(f"WITH {_SPLIT}, l AS (SELECT doc_id, side FROM side) SELECT side, count(*) AS n, min(sha256(doc_id::VARCHAR)) AS least, max(sha256(doc_id::VARCHAR)) AS greatest FROM l GROUP BY 1")
+_KEPT = "ke AS (SELECT doc_id FROM documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)"
+
+
+@query(f"WITH {_SPLIT}, {_KEPT}, r AS (SELECT side, doc_id FROM side JOIN ke USING (doc_id)), {G.tree_sql('per', 'SELECT side, ' + G.row_sql('doc_id') + ' AS d FROM r', ['side'])} SELECT side, n, digest FROM per UNION ALL SELECT 'all', sum(n)::BIGINT, sha256(string_agg(side || chr(31) || digest, chr(30) ORDER BY side)) FROM per")
 def fingerprint_split(spark, d):
-    """Per side its size and the extremes of its ids' digests: a fingerprint that needs no list of ids in one place."""
-    x = S.split_documents(docs(spark, d), "doc_id").withColumn("h", F.sha2(F.col("doc_id").cast("string"), 256))
-    return x.groupBy("side").agg(F.count("*").alias("n"), F.min("h").alias("least"), F.max("h").alias("greatest"))
+    """A digest of the ids of each side, texts that came before left out, and one of all sides in the order of their names."""
+    kept = D.first_wins(docs(spark, d), "doc_id", F.col("text")).where("kept").select("doc_id")
+    per = G.tree_digest(S.split_documents(docs(spark, d), "doc_id").join(kept, "doc_id"), ["side"], F.col("doc_id"))
+    sides = F.array_sort(F.collect_list(F.concat_ws(T.UNIT, "side", "digest")))  # three
+    return per.unionByName(per.agg(F.lit("all").alias("side"), F.sum("n").alias("n"), F.sha2(F.array_join(sides, "\x1e"), 256).alias("digest")))
 
 
-@query("WITH h AS (SELECT source, sha256(string_agg(sha256, ',' ORDER BY path)) AS digest FROM (SELECT source, path, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) GROUP BY 1) SELECT source, digest FROM h")
+@query(f"WITH {G.tree_sql('per', 'SELECT ' + G.row_sql('path', 'sha256(text)') + ' AS d FROM documents WHERE text IS NOT NULL', [])} SELECT n AS documents, substr(sha256(concat_ws(chr(31), 'corpus-1', n, digest)), 1, 16) AS fingerprint FROM per")
 def fingerprint_corpus(spark, d):
-    """A digest of each source's (path-ordered) text digests."""
-    x = docs(spark, d).where("source is not null").select("source", F.struct("path", F.sha2("text", 256).alias("h")).alias("s"))
-    g = x.groupBy("source").agg(F.array_sort(F.collect_list("s")).alias("l"))
-    return g.select("source", F.sha2(F.array_join(F.transform("l", lambda s: s["h"]), ","), 256).alias("digest"))
+    """One digest of the path and text of every document, and their number."""
+    x = G.tree_digest(docs(spark, d), [], F.col("path"), F.sha2("text", 256))
+    return x.select(F.col("n").alias("documents"), T.short_sha(F.lit("corpus-1"), F.col("n").cast("string"), F.col("digest")).alias("fingerprint"))
 
 
 @query(f"WITH {SIZED}, s AS (SELECT *, CASE WHEN before < 0.15 * (SELECT sum(tokens) FROM sized) THEN 'held_out' ELSE 'train' END AS side FROM pre) SELECT side, register, count(DISTINCT source) AS works, count(*) AS documents, sum(chars)::BIGINT AS characters, sum(tokens)::BIGINT AS identifiers FROM s GROUP BY CUBE (side, register)")
@@ -248,11 +270,12 @@ def most_recent_wins(spark, d):
     return j.select("title", F.when(F.col("n") == 1, F.col("w")).alias("winner"))
 
 
-@query("SELECT path, snapshot_name, entry_id FROM corpus_manifest QUALIFY row_number() OVER (PARTITION BY lower(replace(path, chr(92), '/')) ORDER BY ingested_at DESC, entry_id DESC) = 1")
+@query("SELECT path, snapshot_name, entry_id FROM (SELECT *, max(ingested_at) OVER () AS now FROM corpus_manifest QUALIFY row_number() OVER (PARTITION BY lower(replace(path, chr(92), '/')) ORDER BY ingested_at DESC NULLS LAST, entry_id DESC) = 1) WHERE ingested_at > now - INTERVAL 90 DAY")
 def source_fetch_cache(spark, d):
-    """The newest entry of each key, the form of a cache over a log of fetches."""
+    """The newest entry of each key that was not 90 days old when the last one came: a cache over a log of fetches."""
     m = table(spark, d, "corpus_manifest").withColumn("key", F.lower(F.replace("path", F.lit("\\"), F.lit("/"))))
-    return m.groupBy("key").agg(F.max_by(F.struct("path", "snapshot_name", "entry_id"), F.struct("ingested_at", "entry_id")).alias("s")).select("s.*")
+    now = m.agg(F.max("ingested_at")).first()[0]
+    return K.fetch_cache(m, "key", "ingested_at", now, 90 * 86_400, "entry_id").select("path", "snapshot_name", "entry_id")
 
 
 @query("SELECT path, snapshot_name, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ingested_at DESC, entry_id DESC) AS r FROM corpus_manifest) WHERE r <= 2")
@@ -274,11 +297,10 @@ def outcome_codec(spark, d):
     return table(spark, d, "minimal_pairs").select("pair_identifier", "phenomenon", F.concat(b(F.char_length("good") < F.char_length("bad")), b(F.col("good") < F.col("bad")), b(F.col("lang") == "en")).alias("bits"))
 
 
-@query("SELECT phenomenon, lang, sha256(string_agg(pair_identifier, ',' ORDER BY pair_identifier)) AS digest, count(*) AS items FROM minimal_pairs GROUP BY 1, 2")
+@query(f"WITH {G.tree_sql('per', 'SELECT phenomenon, lang, ' + G.row_sql('pair_identifier') + ' AS d FROM minimal_pairs', ['phenomenon', 'lang'])} SELECT phenomenon, lang, n AS items, digest FROM per")
 def cluster_listing(spark, d):
-    """The items of each cluster (phenomenon and language) as an ordered list's digest."""
-    g = table(spark, d, "minimal_pairs").groupBy("phenomenon", "lang").agg(F.array_sort(F.collect_list("pair_identifier")).alias("l"))
-    return g.select("phenomenon", "lang", F.sha2(F.array_join("l", ","), 256).alias("digest"), F.size("l").cast("bigint").alias("items"))
+    """The items of each cluster (phenomenon and language) as a digest."""
+    return G.tree_digest(table(spark, d, "minimal_pairs"), ["phenomenon", "lang"], F.col("pair_identifier")).withColumnRenamed("n", "items")
 
 
 @query("SELECT phenomenon, pair_identifier FROM (SELECT *, row_number() OVER (PARTITION BY phenomenon, lang ORDER BY sha256('7|' || pair_identifier)) AS r1 FROM minimal_pairs) WHERE r1 <= 6 QUALIFY row_number() OVER (PARTITION BY phenomenon ORDER BY sha256('7|' || pair_identifier)) <= 20")
@@ -290,11 +312,9 @@ def pick_continuation_items(spark, d):
     return x.withColumn("q", F.row_number().over(Window.partitionBy("phenomenon").orderBy("k"))).where("q <= 20").select("phenomenon", "pair_identifier")
 
 
-@query("SELECT sha256(string_agg(sha256(pair_identifier || '|' || good || '|' || bad), ',' ORDER BY pair_identifier)) AS digest, count(*) AS items FROM minimal_pairs")
+@query(f"WITH {G.tree_sql('per', 'SELECT ' + G.row_sql('pair_identifier', 'good', 'bad') + ' AS d FROM minimal_pairs', [])} SELECT n AS items, digest FROM per")
 def items_digest(spark, d):
-    h = F.sha2(F.concat_ws("|", "pair_identifier", "good", "bad"), 256)
-    g = table(spark, d, "minimal_pairs").agg(F.array_sort(F.collect_list(F.struct("pair_identifier", h.alias("h")))).alias("l"))
-    return g.select(F.sha2(F.array_join(F.transform("l", lambda s: s["h"]), ","), 256).alias("digest"), F.size("l").cast("bigint").alias("items"))
+    return G.tree_digest(table(spark, d, "minimal_pairs"), [], F.col("pair_identifier"), F.col("good"), F.col("bad")).withColumnRenamed("n", "items")
 
 
 @query("SELECT doc_id, CASE WHEN starts_with(path, 'prose') THEN 'literary' WHEN regexp_matches(path, '^(science|technology|mathematics|medicine)') THEN 'technical' ELSE 'other' END AS family FROM documents")

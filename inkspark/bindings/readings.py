@@ -12,6 +12,7 @@ from inkspark.bindings.statistics import L, losses
 from inkspark.functions import text as T
 from inkspark.functions import tokens as K
 from inkspark.functions import udfs as U
+from inkspark.operators import digests as G
 from inkspark.operators import retrieval as R
 from inkspark.operators import selection as S
 from inkspark.operators import stats as Z
@@ -56,7 +57,7 @@ def loop_tail(spark, d):
 
 @query()
 def periodic_run(spark, d):
-    return docs(spark, d).select("doc_id", U.loops("text").alias("l")).select("doc_id", "l.periodic_repeats")
+    return docs(spark, d).select("doc_id", U.loops("text").alias("l")).select("doc_id", "l.periodic_repeats", T.sha(F.col("l.periodic_block")).alias("block"))
 
 
 @query()
@@ -75,10 +76,14 @@ def url_scheme_allowed(spark, d):
     return table(spark, d, "catalogue").where("url is not null").groupBy(T.scheme_allowed(F.col("url"), ("https", "http")).alias("scheme")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, a IN (0, 10, 127) OR a >= 224 AS blocked FROM (SELECT event_id, event_id % 256 AS a FROM events) WHERE a IN (0, 10, 127, 11, 55, 224, 255)")
+_FOUR = "a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)"
+_SIX = "x NOT BETWEEN 8192 AND 16383 OR x = 8194 OR (x = 8193 AND (y = 3512 OR (y < 512 AND y NOT IN (1, 3) AND y NOT BETWEEN 32 AND 63)))"
+
+
+@query(f"WITH e AS (SELECT event_id, event_id % 256 AS a, (event_id >> 8) % 256 AS b, (event_id >> 16) % 256 AS c, (event_id >> 24) % 256 AS d, event_id % 65536 AS x, (event_id >> 16) % 65536 AS y FROM events WHERE event_id IS NOT NULL), h AS (SELECT DISTINCT lower(regexp_extract(url, '^[^:]+://([^/:?#]*)', 1)) AS host FROM catalogue WHERE url IS NOT NULL UNION SELECT unnest(['localhost', 'metadata', 'metadata.google.internal'])) SELECT event_id, concat_ws('.', a, b, c, d) AS host, {_FOUR} AS blocked FROM e UNION ALL SELECT event_id, format('{{:x}}:{{:x}}::1', x, y), {_SIX} FROM e UNION ALL SELECT NULL, host, host IN ('localhost', 'metadata', 'metadata.google.internal') FROM h")
 def url_blocked_destination(spark, d):
     """Two addresses of every event, of four numbers and of the sixth version, with all their digits from the id, the hosts of the
-    catalogue and the names that are refused; hosts that are no event's have no event_id. The SQL covers seven first numbers only."""
+    catalogue and the names that are refused; hosts that are no event's have no event_id."""
     low = lambda k: F.shiftright("event_id", k)
     four = F.concat_ws(".", *[(low(k) % 256).cast("string") for k in (0, 8, 16, 24)])
     six = F.concat(F.lower(F.concat_ws(":", *[F.hex(low(k) % 65536) for k in (0, 16)])), F.lit("::1"))
@@ -89,11 +94,12 @@ def url_blocked_destination(spark, d):
     return hosts.select("event_id", "host", T.blocked_host(F.col("host")).alias("blocked"))
 
 
-@query(f"WITH {_SPLIT} SELECT side, bit_xor(('0x' || substr(sha256(text), 1, 15))::BIGINT) AS mark, count(*) AS n FROM side JOIN documents USING (doc_id) GROUP BY 1")
+@query(f"WITH {_SPLIT}, r AS (SELECT side, doc_id, text FROM side JOIN documents USING (doc_id)), {G.tree_sql('per', 'SELECT side, ' + G.row_sql('doc_id', 'sha256(text)') + ' AS d FROM r', ['side'])} SELECT 8 AS context_size, substr(sha256(string_agg(digest, chr(30) ORDER BY side) FILTER (side <> 'test') || chr(30) || '8'), 1, 16) AS fingerprint FROM per")
 def fingerprint_dataset(spark, d):
-    """Per side a mark of its texts that no order changes."""
-    x = docs(spark, d).join(S.split_documents(docs(spark, d), "doc_id"), "doc_id")
-    return x.groupBy("side").agg(F.bit_xor(F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("bigint")).alias("mark"), F.count("*").alias("n"))
+    """One digest of the texts of train and validation and of the context size that examples are cut with."""
+    x = docs(spark, d).join(S.split_documents(docs(spark, d), "doc_id"), "doc_id").where("side <> 'test'")
+    per = G.tree_digest(x, ["side"], F.col("doc_id"), F.sha2("text", 256)).agg(F.transform(F.array_sort(F.collect_list(F.struct("side", "digest"))), lambda s: s["digest"]).alias("l"))
+    return per.select(F.lit(8).alias("context_size"), F.substring(F.sha2(F.concat(F.array_join("l", "\x1e"), F.lit("\x1e8")), 256), 1, 16).alias("fingerprint"))
 
 
 @query("SELECT pair_identifier, i::INT AS position, CASE i WHEN 0 THEN good ELSE bad END AS claim FROM minimal_pairs, range(0, 2) t(i)")
@@ -137,11 +143,10 @@ def labels_resolve(spark, d):
     return table(spark, d, "documents").join(c, "source").select("label", "doc_id").distinct()
 
 
-@query("SELECT phenomenon, sha256(string_agg(h, ',' ORDER BY h)) AS version FROM (SELECT phenomenon, sha256('{\"bad\":' || to_json(bad) || ',\"good\":' || to_json(good) || '}') AS h FROM minimal_pairs) GROUP BY 1")
+@query(f"WITH {G.tree_sql('per', 'SELECT phenomenon, ' + G.row_sql('good', 'bad') + ' AS d FROM minimal_pairs', ['phenomenon'])} SELECT phenomenon, n AS cases, digest AS version FROM per")
 def case_version(spark, d):
     """A version of each case set that the order of its cases doesn't change."""
-    h = table(spark, d, "minimal_pairs").select("phenomenon", F.sha2(F.to_json(F.struct("bad", "good")), 256).alias("h"))
-    return h.groupBy("phenomenon").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("version"))
+    return G.tree_digest(table(spark, d, "minimal_pairs"), ["phenomenon"], F.col("good"), F.col("bad")).select("phenomenon", F.col("n").alias("cases"), F.col("digest").alias("version"))
 
 
 @query("SELECT doc_id, (i - 1)::INT AS line, CASE WHEN substr(sha256('7|' || doc_id || '|' || (i - 1)), 1, 1) < '2' THEN 'held_out' ELSE 'train' END AS side FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)) WHERE trim(l[i]) <> ''")

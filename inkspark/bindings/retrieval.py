@@ -9,8 +9,8 @@ from inkspark.functions import text as T
 from inkspark.operators import retrieval as R
 from inkspark.plans.registry import query, table
 
-# Words too common to tell texts apart.
-STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "had", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "which", "with"]
+# Function words, which tell no text from another.
+STOP = ["a", "an", "and", "any", "are", "as", "at", "be", "been", "being", "but", "by", "can", "could", "did", "do", "does", "for", "from", "had", "has", "have", "he", "her", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "may", "might", "must", "no", "nor", "not", "of", "on", "or", "our", "she", "should", "so", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "to", "too", "us", "was", "we", "were", "what", "when", "where", "which", "who", "whom", "whose", "why", "will", "with", "would", "you", "your"]
 
 
 def _docs(spark, d):
@@ -81,23 +81,28 @@ def dense_retrieve(spark, d):
     return _by_embedding(spark, d)
 
 
-_HYB = f"{BM25}, near AS (SELECT q.doc_id AS query, d.doc_id AS chunk, row_number() OVER (PARTITION BY q.doc_id ORDER BY abs(d.n_chars - q.n_chars), d.doc_id) AS rank FROM documents q, documents d WHERE q.doc_id % 100 = 0 AND q.text IS NOT NULL AND d.text IS NOT NULL QUALIFY rank <= 5), fu AS (SELECT coalesce(lex.query, near.query) AS query, coalesce(lex.chunk, near.chunk) AS chunk, lex.rank AS lexical_rank, near.rank AS dense_rank, round(coalesce(1.0::DOUBLE / (60 + lex.rank), 0) + coalesce(1.0::DOUBLE / (60 + near.rank), 0), 12) AS score FROM lex FULL JOIN near ON lex.query = near.query AND lex.chunk = near.chunk), hyb AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS rank, chunk, score, lexical_rank, dense_rank FROM fu QUALIFY rank <= 5)"
+_LETTERS = "list_transform(range(97, 123), lambda c: (length(lower(text)) - length(replace(lower(text), chr(c::INT), '')))::DOUBLE)"
+_HYB = f"""{BM25}, le AS (SELECT doc_id, {_LETTERS} AS e FROM documents WHERE text IS NOT NULL), lu AS (SELECT doc_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM le WHERE list_dot_product(e, e) > 0),
+ near AS (SELECT q.doc_id AS query, d.doc_id AS chunk, row_number() OVER (PARTITION BY q.doc_id ORDER BY round(list_dot_product(q.e, d.e), 6) DESC, d.doc_id) AS rank FROM lu q, lu d WHERE q.doc_id % 100 = 0 QUALIFY rank <= 5),
+ fu AS (SELECT coalesce(lex.query, near.query) AS query, coalesce(lex.chunk, near.chunk) AS chunk, lex.rank AS lexical_rank, near.rank AS dense_rank, round(coalesce(1.0::DOUBLE / (60 + lex.rank), 0) + coalesce(1.0::DOUBLE / (60 + near.rank), 0), 12) AS score FROM lex FULL JOIN near ON lex.query = near.query AND lex.chunk = near.chunk),
+ hyb AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS rank, chunk, score, lexical_rank, dense_rank FROM fu QUALIFY rank <= 5)"""
 
 
-def _near_length(spark, d):
-    docs = _docs(spark, d).select("doc_id", "n_chars")
-    qs = docs.where("doc_id % 100 = 0").agg(F.collect_list(F.struct(F.col("doc_id").alias("query"), F.col("n_chars").alias("m"))).alias("qs"))
-    pairs = docs.join(F.broadcast(qs), F.lit(True)).select(F.col("doc_id").alias("chunk"), "n_chars", F.explode("qs").alias("q")).select("q.query", "chunk", (-F.abs(F.col("n_chars") - F.col("q.m"))).alias("score"))
-    return R.top(pairs, 5, "query", "score", "chunk")
+def _by_letters(spark, d, k=5):
+    """The nearest documents by their counts of 26 letters, a vector that SQL can make too."""
+    low = F.lower("text")
+    counts = F.array(*[(F.char_length(low) - F.char_length(F.replace(low, F.lit(chr(c)), F.lit("")))).cast("double") for c in range(97, 123)])
+    v = _docs(spark, d).select("doc_id", counts.alias("v"))
+    return R.dense(v, v.where("doc_id % 100 = 0"), "doc_id", "v", "doc_id", k)
 
 
 def _hybrid(spark, d):
-    return R.fuse(_lexical(spark, d), _near_length(spark, d))
+    return R.fuse(_lexical(spark, d), _by_letters(spark, d))
 
 
 @query(f"WITH {_HYB} SELECT query, rank::INT AS rank, chunk, round(score, 9) AS score, lexical_rank::INT AS lexical_rank, dense_rank::INT AS dense_rank FROM hyb")
 def hybrid_rrf(spark, d):
-    """Reciprocal rank fusion of BM25 and a second ranking of the same documents, by nearness of length."""
+    """Reciprocal rank fusion of BM25 and a dense ranking of the same documents, by the cosine of their letters."""
     return _hybrid(spark, d).withColumn("score", F.round("score", 9))
 
 
@@ -171,7 +176,7 @@ def claim_links(spark, d):
     return claims.select(F.col("query").alias("claim"), F.explode("cited").alias("chunk"))
 
 
-_STOPS = ", ".join(f"'{w}'" for w in STOP)
+_STOPS = "'" + "', '".join("a an and any are as at be been being but by can could did do does for from had has have he her him his how i if in into is it its may might must no nor not of on or our she should so than that the their them then there these they this those to too us was we were what when where which who whom whose why will with would you your".split()) + "'"
 
 
 @query(f"WITH {BM25}, t AS (SELECT query, term FROM q JOIN df USING (term) CROSS JOIN s WHERE term NOT IN ({_STOPS}) AND df <= 0.25 * n), f AS (SELECT t.query, count(DISTINCT t.term) AS covered FROM t JOIN lex ON lex.query = t.query JOIN tf ON tf.doc_id = lex.chunk AND tf.term = t.term GROUP BY 1), c AS (SELECT query, count(*) AS discriminating FROM t GROUP BY 1) SELECT d.doc_id AS query, coalesce(discriminating, 0) AS discriminating, coalesce(covered, 0) AS covered, coalesce(covered, 0) > 0 AS sufficient FROM documents d LEFT JOIN c ON c.query = d.doc_id LEFT JOIN f ON f.query = d.doc_id WHERE d.doc_id % 100 = 0 AND d.text IS NOT NULL")
@@ -182,10 +187,14 @@ def sufficiency(spark, d):
 
 
 def _cases(spark, d, results):
-    docs = table(spark, d, "documents").select("doc_id", "source")
+    """Gold is what has the query's source: counted per source, and read off the retrieved chunks, so it is never listed."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk"), F.col("source").alias("of"))
+    per = table(spark, d, "documents").where("source is not null").groupBy("source").agg((F.count("*") - 1).alias("gold_size"))
     qs = _queries(spark, d).select(F.col("doc_id").alias("query"), "source")
-    gold = qs.join(docs, "source").where("doc_id <> query").select("query", F.col("doc_id").alias("chunk"))
-    return R.case_metrics(results, gold, qs.select("query", F.col("query").alias("chunk")), qs)
+    r = results.join(docs, "chunk").join(qs, "query")
+    itself = F.col("chunk") == F.col("query")
+    judged = r.select("query", "chunk", "rank", (~itself & F.coalesce(F.col("of") == F.col("source"), F.lit(False))).alias("good"), itself.alias("bad"))
+    return R.judged_metrics(judged, qs.join(per, "source", "left").select("query", "gold_size"))
 
 
 def _case_sql(rows: str) -> str:
@@ -229,9 +238,8 @@ def overlap_train_heldout(spark, d):
 @query(f"WITH w AS (SELECT {_W8.format('text')} AS w FROM documents WHERE text IS NOT NULL), t AS (SELECT DISTINCT unnest({_G.format(5)}) AS g FROM w), p AS (SELECT pair_identifier, {_W8.format('good')} AS w FROM minimal_pairs), q AS (SELECT pair_identifier, unnest({_G.format(5)}) AS g FROM p) SELECT DISTINCT pair_identifier FROM q WHERE g IN (SELECT g FROM t)")
 def contaminated_pairs(spark, d):
     """Items whose good text shares five words in a row with any document."""
-    g = table(spark, d, "minimal_pairs").select("pair_identifier", F.explode(T.grams(T.words_lower(F.col("good")), 5)).alias("g"))
-    t = _docs(spark, d).select(F.explode(F.array_distinct(T.grams(T.words_lower(F.col("text")), 5))).alias("g"))
-    return g.join(t, "g", "left_semi").select("pair_identifier").distinct()
+    words = lambda c: T.grams(T.words_lower(F.col(c)), 5)
+    return R.contaminated(table(spark, d, "minimal_pairs"), "pair_identifier", words("good"), _docs(spark, d), words("text"))
 
 
 @query("SELECT ebook_number, title, author FROM catalogue QUALIFY row_number() OVER (PARTITION BY ebook_number ORDER BY listed_at DESC, url, title, author) = 1")

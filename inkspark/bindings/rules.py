@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from inkspark.bindings.retrieval import _VALID, BM25, _claims, _lexical
 from inkspark.functions import text as T
+from inkspark.operators import digests as G
 from inkspark.operators import retrieval as R
 from inkspark.operators import rules as X
+from inkspark.plans.lineage import cut
 from inkspark.plans.registry import query, table
 
-_Q = lambda ws: ", ".join(f"'{w}'" for w in ws)
+_INFORMATION = "'according', 'compare', 'define', 'describe', 'explain', 'find', 'how', 'list', 'lookup', 'retrieve', 'search', 'tell', 'what', 'when', 'where', 'which', 'who', 'why'"
+_CONTINUATION = "'again', 'also', 'both', 'either', 'else', 'first', 'it', 'its', 'more', 'neither', 'second', 'than', 'that', 'these', 'they', 'them', 'this', 'those'"
 _TOK = "list_distinct(list_filter(list_transform(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[^ \\t\\n\\r]+'), lambda t: regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')), lambda t: t <> ''))"
 
 
-@query(f"WITH t AS (SELECT doc_id, text, {_TOK} AS w, source IS NOT NULL AS has, [regexp_extract(path, '^([a-z]+)-pg', 1)] AS topic FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN has AND (list_has_any(w, [{_Q(X.CONTINUATION)}]) OR list_has_any(w, topic)) THEN 'follow_up' WHEN list_has_any(w, [{_Q(X.INFORMATION)}]) OR ends_with(rtrim(text, ' '), '?') THEN 'retrieve' ELSE 'none' END AS mode FROM t")
+@query(f"WITH t AS (SELECT doc_id, text, {_TOK} AS w, source IS NOT NULL AS has, [regexp_extract(path, '^([a-z]+)-pg', 1)] AS topic FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN has AND (list_has_any(w, [{_CONTINUATION}]) OR list_has_any(w, topic)) THEN 'follow_up' WHEN list_has_any(w, [{_INFORMATION}]) OR ends_with(rtrim(text, ' '), '?') THEN 'retrieve' ELSE 'none' END AS mode FROM t")
 def plan_query(spark, d):
     """Each document as a message: a source makes prior sources, its register is the topic."""
     t = table(spark, d, "documents").where("text is not null")
@@ -66,11 +69,11 @@ def agg_correction_rates(spark, d):
     return c.agg(rate("new = 'contradicted' and decision = 'correct'", "new = 'contradicted'").alias("success"), rate("prior = 'supported' and new <> 'supported' and decision = 'retain'", "prior = 'supported' and new <> 'supported'").alias("unjustified_persistence"), rate("new = 'supported' and decision <> 'retain'", "new = 'supported'").alias("unnecessary_revision"))
 
 
-@query(f"WITH {_DECIDE} SELECT 'cor_' || substr(sha256(string_agg(claim || ':' || decision, ',' ORDER BY claim)), 1, 16) AS record, answer, count(*) FILTER (decision = 'correct') AS corrected, count(*) FILTER (decision = 'qualify') AS qualified, count(*) FILTER (decision = 'retain') AS retained FROM dc GROUP BY answer")
+@query(f"WITH {_DECIDE}, {G.tree_sql('per', 'SELECT answer, ' + G.row_sql('claim', 'decision') + ' AS d FROM dc', ['answer'])} SELECT 'cor_' || substr(digest, 1, 16) AS record, answer, corrected, qualified, retained FROM per JOIN (SELECT answer, count(*) FILTER (decision = 'correct') AS corrected, count(*) FILTER (decision = 'qualify') AS qualified, count(*) FILTER (decision = 'retain') AS retained FROM dc GROUP BY answer) USING (answer)")
 def correction_record(spark, d):
-    g = _decided(spark, d).groupBy("answer").agg(F.array_sort(F.collect_list(F.struct("claim", "decision"))).alias("l"), *[F.count_if(F.col("decision") == v).alias(k) for k, v in (("corrected", "correct"), ("qualified", "qualify"), ("retained", "retain"))])
-    body = F.array_join(F.transform("l", lambda s: F.concat(s["claim"].cast("string"), F.lit(":"), s["decision"])), ",")
-    return g.select(F.concat(F.lit("cor_"), F.substring(F.sha2(body, 256), 1, 16)).alias("record"), "answer", "corrected", "qualified", "retained")
+    c = cut(_decided(spark, d))
+    g = c.groupBy("answer").agg(*[F.count_if(F.col("decision") == v).alias(k) for k, v in (("corrected", "correct"), ("qualified", "qualify"), ("retained", "retain"))])
+    return G.tree_digest(c, ["answer"], F.col("claim"), F.col("decision")).join(g, "answer").select(F.concat(F.lit("cor_"), F.substring("digest", 1, 16)).alias("record"), "answer", "corrected", "qualified", "retained")
 
 
 @query(f"WITH {_DECIDE} SELECT decision, count(*) AS cases, round(count(*) FILTER (new = 'supported') / count(*), 6) AS supported_rate FROM dc GROUP BY 1")

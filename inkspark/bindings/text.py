@@ -83,12 +83,13 @@ def distinct_n(spark, d):
     return t.select("doc_id", *[F.round(T.distinct_ratio(F.col("w"), n), 6).alias(f"distinct_{n}") for n in (1, 2, 3)])
 
 
-_CLAIMS = "SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r]+', '\\1' || chr(7), 'g'), chr(7)), lambda s: regexp_replace(s, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')), lambda s: s <> '') AS c FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(7))"
+# a bell character in a text is written as bell 0, so that bell 1 can be the mark
+_CLAIMS = "SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace(text, chr(7), chr(7) || '0'), '([.!?])[ \\t\\n\\r]+', '\\1' || chr(7) || '1', 'g'), chr(7) || '1'), lambda s: replace(regexp_replace(s, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g'), chr(7) || '0', chr(7))), lambda s: s <> '') AS c FROM documents WHERE text IS NOT NULL"
 
 
 @query(f"WITH c AS ({_CLAIMS}), e AS (SELECT doc_id, unnest(c) AS claim, generate_subscripts(c, 1) - 1 AS position FROM c) SELECT doc_id, position::BIGINT AS position, 'clm_' || substr(sha256(doc_id || chr(31) || position || chr(31) || claim), 1, 16) AS claim_id FROM e")
 def claims_sentence(spark, d):
-    """Claims of every text. The SQL, which uses the bell character as a mark, leaves out texts that hold one."""
+    """Claims of every text."""
     c = docs(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("position", "claim"))
     return c.select("doc_id", F.col("position").cast("bigint").alias("position"), T.claim_id(F.col("doc_id").cast("string"), F.col("position"), F.col("claim")).alias("claim_id"))
 
@@ -132,9 +133,17 @@ def source_reference(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(p.startswith("./") | p.contains("/"), "file").otherwise("text").alias("kind"), F.concat(F.lit("file:"), p).alias("reference"))
 
 
-@query("SELECT ebook_number, listed_at, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS canonical FROM catalogue WHERE url IS NOT NULL")
+_PARAMS = ["fbclid", "gclid", "dclid", "msclkid", "igshid", "mc_cid", "mc_eid", "ref", "ref_src", "referrer", "source", "spm", "yclid", "_ga", "_gl", "utm_source", "page", "gbraid"]
+_CANON = "lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/+$', '')"
+
+
+@query(f"WITH c AS (SELECT ebook_number, listed_at, {_CANON} AS base FROM catalogue WHERE url IS NOT NULL), p AS (SELECT unnest(['fbclid', 'gclid', 'dclid', 'msclkid', 'igshid', 'mc_cid', 'mc_eid', 'ref', 'ref_src', 'referrer', 'source', 'spm', 'yclid', '_ga', '_gl', 'utm_source', 'page', 'gbraid']) AS name) SELECT ebook_number, listed_at, name, base || '?a=1&b=x y' || CASE name WHEN 'page' THEN '&page=7' WHEN 'gbraid' THEN '&gbraid=7' ELSE '' END AS canonical FROM c, p")
 def url_canonicalize(spark, d):
-    return table(spark, d, "catalogue").where("url is not null").select("ebook_number", "listed_at", T.canonical_url(F.col("url")).alias("canonical"))
+    """Every listed address with each of 18 parameters beside two others, in upper-case scheme, with a slash and a fragment."""
+    t = table(spark, d, "catalogue").where("url is not null").select("ebook_number", "listed_at", "url", F.explode(F.array(*map(F.lit, _PARAMS))).alias("name"))
+    shown = F.concat(F.replace("url", F.lit("https://"), F.lit("HTTPS://")), F.lit("/?b=x+y&"), F.upper("name"), F.lit("=7&a=1#top"))
+    plain = F.concat("url", F.lit("/?b=x%20y&"), "name", F.lit("=7&a=1"))
+    return t.select("ebook_number", "listed_at", "name", T.canonical_url(F.when(F.col("name").isin("page", "gbraid"), plain).otherwise(shown)).alias("canonical"))
 
 
 @query("SELECT lower(regexp_extract(url, '^[^:]+://([^/:?#]*)', 1)) AS host, count(*) AS n, count(*) FILTER (starts_with(lower(url), 'https://')) AS allowed, 0::BIGINT AS blocked FROM catalogue WHERE url IS NOT NULL GROUP BY 1")
@@ -210,7 +219,7 @@ def refs_answer(spark, d):
 def text_stats(spark, d):
     """Words, distinct n-grams, tail loop, periodic runs and longest repeated block of every text."""
     t = docs(spark, d).select("doc_id", "text", T.words_apostrophe(F.col("text")).alias("w"))
-    return t.select("doc_id", F.size("w").cast("bigint").alias("words"), *[F.round(T.distinct_ratio(F.col("w"), n), 6).alias(f"distinct_{n}") for n in (1, 2, 3)], U.loops("text").alias("loops")).select("doc_id", "words", "distinct_1", "distinct_2", "distinct_3", "loops.*")
+    return t.select("doc_id", F.size("w").cast("bigint").alias("words"), *[F.round(T.distinct_ratio(F.col("w"), n), 6).alias(f"distinct_{n}") for n in (1, 2, 3)], U.loops("text").alias("loops")).select("doc_id", "words", "distinct_1", "distinct_2", "distinct_3", "loops.tail_period", "loops.periodic_repeats", "loops.replacement_chars")
 
 
 @query(None)
@@ -226,12 +235,17 @@ def chunk_paragraphs_pack(spark, d):
     return s.select("doc_id", F.col("position").cast("bigint").alias("position"), "c.heading", F.char_length("c.body").cast("bigint").alias("n_chars"), T.sha(F.col("c.body")).alias("digest"))
 
 
-@query(None)
+_PAGE = f"""'# ' || coalesce(source, '') || chr(10) || chr(10) || chr(10) || text || chr(10) || chr(10) || 'left' || chr(10) || chr(10) || 'right'"""
+
+
+@query(f"WITH p AS (SELECT doc_id, trim(coalesce(source, '')) AS title, {_PAGE} AS text FROM documents WHERE text IS NOT NULL) SELECT doc_id, title, length(t) AS n_chars, sha256(t) AS digest FROM (SELECT doc_id, title, {_NORMAL} AS t FROM p)")
 def html_to_text(spark, d):
-    """Documents set as pages and read back: the visible text and the title."""
-    page = F.concat(F.lit("<html><head><title>"), F.xpath_string(F.lit("<a>x</a>"), F.lit("a")), F.lit("</title><style>p{}</style></head><body><h1>"), "source", F.lit("</h1><p>"), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p></body></html>"))
-    t = docs(spark, d).where("source is not null").select("doc_id", U.html_text(page).alias("h"))
-    return t.select("doc_id", "h.title", F.char_length("h.text").cast("bigint").alias("n_chars"), T.sha(F.col("h.text")).alias("digest"))
+    """Every document set as a page with a script and a table, and read back: its title and its visible text, normalized."""
+    name = F.coalesce("source", F.lit(""))
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(F.lit("<html><head><title>"), name, F.lit("</title><style>p{}</style></head><body><h1>"), name, F.lit("</h1><p>"), escaped, F.lit("</p><script>no()</script><table><tr><td>left</td><td>right</td></tr></table></body></html>"))
+    t = docs(spark, d).select("doc_id", U.html_text(page).alias("h")).select("doc_id", "h.title", T.normal_document(U.nfc("h.text")).alias("t"))
+    return t.select("doc_id", "title", F.char_length("t").cast("bigint").alias("n_chars"), T.sha(F.col("t")).alias("digest"))
 
 
 @query(None)

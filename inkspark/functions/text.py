@@ -141,30 +141,41 @@ def reassessment(message: Column) -> Column:
     return F.when(n == 0, "no_target").when(n == 1, "explicit").otherwise("ambiguous")
 
 
-# Query parameters that only track.
-TRACKING = ["fbclid", "gclid", "dclid", "gbraid", "wbraid", "msclkid", "yclid", "igshid", "mc_cid", "mc_eid", "ref", "ref_src", "source", "_ga", "spm"]
+# Query parameters that only track (beside all that begin with utm_).
+TRACKING = ["fbclid", "gclid", "dclid", "msclkid", "igshid", "mc_cid", "mc_eid", "ref", "ref_src", "referrer", "source", "spm", "yclid", "_ga", "_gl"]
+
+
+def _encoded_path(path: Column) -> Column:
+    """A path with all but plain and reserved characters and escapes percent-encoded."""
+    fine = r"[A-Za-z0-9/%:@!$&'()*+,;=~._-]"
+    each = F.transform(chars(path), lambda c: F.when(c.rlike(fine), c).otherwise(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))))
+    return F.when(path.rlike(f"^{fine}*$"), path).otherwise(F.array_join(each, ""))
 
 
 def canonical_url(url: Column) -> Column:
-    """A web address in one form: scheme and host in lower case, no default port, fragment or tracking parameter, parameters in
-    order, no slash at the end; null if it isn't http(s) or carries credentials."""
-    u = F.trim(url)
+    """A web address in one form; null if it isn't http(s), has no host or carries credentials.
+
+    Scheme and host in lower case, no default port, root dot, fragment or tracking parameter; parameters decoded and sorted by name
+    and value, one without a value kept as ``name=``; no slash at the end of a path but the root, which an empty path becomes.
+    """
+    u = F.regexp_replace(url, r"^\s+|\s+$", "")
     scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     authority = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    host = F.regexp_replace(F.lower(F.regexp_extract(authority, r"^([^:]*)", 1)), r"\.+$", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(authority, r"^(\[[^\]]*\]|[^:]*)", 1)), r"\.$", "")
     port = F.regexp_extract(authority, r":([0-9]+)$", 1)
-    path = F.regexp_replace(F.regexp_extract(u, r"^[^:]+://[^/?#]*([^?#]*)", 1), "/+$", "")
+    path = F.nullif(F.regexp_replace(F.regexp_extract(u, r"^[^:]+://[^/?#]*([^?#]*)", 1), "/+$", ""), F.lit(""))
     query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
-    name = lambda p: F.lower(F.substring_index(p, "=", 1))
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).startswith("utm_") & ~name(p).isin(TRACKING))
-    shown = F.array_join(F.array_sort(F.transform(kept, lambda p: F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%20"))))), "&")
+    plain = lambda p: F.coalesce(F.try_url_decode(p), p)
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(plain(F.substring_index(p, "=", 1)).alias("name"), plain(F.when(p.contains("="), F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p))).otherwise("")).alias("value")))
+    kept = F.filter(pairs, lambda p: ~F.lower(p["name"]).startswith("utm_") & ~F.lower(p["name"]).isin(TRACKING))
+    shown = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&")
     default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
-    out = F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), path, F.when(shown == "", "").otherwise(F.concat(F.lit("?"), shown)))
+    out = F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), _encoded_path(F.coalesce(path, F.lit("/"))), F.when(shown == "", "").otherwise(F.concat(F.lit("?"), shown)))
     return F.when(scheme.isin("http", "https") & ~authority.contains("@") & (host != ""), out)
 
 
 def url_host(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(canonical_url(url), r"^https?://([^/:?]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(canonical_url(url), r"^https?://(\[[^\]]*\]|[^/:?]+)", 1), F.lit(""))
 
 
 def scheme_allowed(url: Column, schemes: tuple[str, ...] = ("https",)) -> Column:

@@ -56,24 +56,27 @@ def _same(text: str, a: int, b: int, back: bool = False) -> int:
     return n
 
 
-def periodic_run(text: str) -> tuple[int, int]:
-    """(repeats, period) of the block of any length that is repeated most in a row, (1, 0) without any; ties to the longer.
+def periodic_run(text: str) -> tuple[int, int, int]:
+    """(repeats, period, start) of the block of any length that is repeated most in a row, (1, 0, 0) without any; ties to the longer
+    block, then to the first place.
 
     A block of length p that comes k times in a row is a stretch of (k - 1) p characters that agree with those p later. Short
     periods are compared over the whole text. A stretch of a longer one holds a multiple of p with agreement over p after it
     (k > 2), or over half of p after or before it (k = 2): only multiples at which codes of characters agree are looked at,
     n log n in all, and each by exact comparison. Periods that can't reach the best so far are left out.
     """
-    n, best, period = len(text), 1, 0
+    n, best, period, start = len(text), 1, 0, 0
     a = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     p = 1
     while p < _SHORT and p <= n // max(best, 2):
         if b"\1" * ((max(best, 2) - 1) * p) in (a[p:] == a[:-p]).tobytes():
             differ = np.flatnonzero(a[p:] != a[:-p])
-            best, period = int(np.diff(differ, prepend=-1, append=n - p).max() - 1) // p + 1, p
+            runs = (np.diff(differ, prepend=-1, append=n - p) - 1) // p + 1
+            first = int(runs.argmax())
+            best, period, start = int(runs[first]), p, int(differ[first - 1]) + 1 if first else 0
         p += 1
     if n // max(best, 2) < _SHORT:
-        return best, period
+        return best, period, start
     code, size = a.astype(np.uint64), 1
     while size < _GRAM:
         code = code[:-size] * np.uint64(pow(0x9E3779B97F4A7C15, size, 1 << 64)) + (code[size:] ^ (code[size:] >> np.uint64(29)))
@@ -96,7 +99,7 @@ def periodic_run(text: str) -> tuple[int, int]:
         hit &= at >= _GRAM
         found.append((ps[hit], at[hit]))
     if not found:
-        return best, period
+        return best, period, start
     ps, at = (np.concatenate(x) for x in zip(*found, strict=True))
     done = (0, 0)  # the period looked at and where its last stretch ends
     for i in np.lexsort((at, ps)):
@@ -106,60 +109,59 @@ def periodic_run(text: str) -> tuple[int, int]:
         if done[0] == p and q < done[1]:
             continue
         after = _same(text, q, q + p)
-        k = (after + _same(text, q, q + p, back=True)) // p + 1
+        before = _same(text, q, q + p, back=True)
+        k = (after + before) // p + 1
         done = p, q + after
-        if k >= max(best, 2):
-            best, period = k, p
-    return best, period
+        if k >= 2 and (k, p) > (best, period):
+            best, period, start = k, p, q - before
+    return best, period, start
 
 
 def repeated_block(text: str) -> tuple[int, int]:
-    """(length, times) of the longest substring that occurs twice or more: a suffix automaton, linear in the text."""
-    if len(text) < 2:
+    """(length, times) of the longest substring that occurs twice or more, overlaps included; (0, 0) where none does.
+
+    Places get ranks by the 1, 2, 4, ... characters from them on, until no two are alike. Two places share the first L characters,
+    for L between two of these lengths, if they share the ranks at both ends: so L is found by halving, all by sorting numbers.
+    """
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ranks, size = [np.unique(a, return_inverse=True)[1].astype(np.int64)], 1
+
+    def keys(length: int) -> np.ndarray:
+        k = length.bit_length() - 1
+        r = ranks[k]
+        return r[: len(a) - length + 1] * (len(a) + 1) + r[length - (1 << k) : len(a) - (1 << k) + 1]
+
+    def repeats(k: np.ndarray) -> bool:
+        s = np.sort(k)
+        return bool((s[1:] == s[:-1]).any())
+
+    if not repeats(ranks[0]):
         return 0, 0
-    link, length, nexts, count = [-1], [0], [{}], [0]
-    last = 0
-    for ch in text:
-        cur = len(length)
-        length.append(length[last] + 1)
-        link.append(0)
-        nexts.append({})
-        count.append(1)
-        p = last
-        while p >= 0 and ch not in nexts[p]:
-            nexts[p][ch] = cur
-            p = link[p]
-        if p >= 0:
-            q = nexts[p][ch]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
-                c = len(length)
-                length.append(length[p] + 1)
-                link.append(link[q])
-                nexts.append(dict(nexts[q]))
-                count.append(0)
-                while p >= 0 and nexts[p].get(ch) == q:
-                    nexts[p][ch] = c
-                    p = link[p]
-                link[q] = link[cur] = c
-        last = cur
-    order = sorted(range(1, len(length)), key=lambda v: -length[v])
-    for v in order:
-        if link[v] > 0:
-            count[link[v]] += count[v]
-    best = max(((length[v], count[v]) for v in range(1, len(length)) if count[v] >= 2), default=(0, 0))
-    return best
-
-
-@batched("tail_period int, periodic_repeats int, replacement_chars int")
+    while 2 * size < len(a) and repeats(k := keys_of(ranks[-1], size)):
+        ranks.append(np.unique(k, return_inverse=True)[1].astype(np.int64))
+        size *= 2
+    low, high = size, min(2 * size, len(a))
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if repeats(keys(mid)) else (low, mid)
+    return low, int(np.unique(keys(low), return_counts=True)[1].max())
+
+
+def keys_of(ranks: np.ndarray, size: int) -> np.ndarray:
+    """One number for the ranks of each two stretches of ``size`` that follow each other."""
+    n = len(ranks)
+    return ranks[: n - size] * (n + size + 1) + ranks[size:]
+
+
+@batched("tail_period int, periodic_repeats int, periodic_block string, replacement_chars int")
 def loops(text: pd.Series) -> pd.DataFrame:
     """Loop statistics of texts with white space squeezed."""
     rows = []
     for t in text:
         t = " ".join((t or "").split())
-        rows.append((tail_period(t), periodic_run(t)[0], t.count("�")))
-    return pd.DataFrame(rows, columns=["tail_period", "periodic_repeats", "replacement_chars"])
+        repeats, period, start = periodic_run(t)
+        rows.append((tail_period(t), repeats, t[start : start + period], t.count("�")))
+    return pd.DataFrame(rows, columns=["tail_period", "periodic_repeats", "periodic_block", "replacement_chars"])
 
 
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
@@ -234,48 +236,52 @@ def chunks(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"heading": h, "body": b} for h, b in chunk(t or "")])
 
 
+# Elements whose text is no content, and those that part blocks.
+_SKIPPED = {"script", "style", "noscript", "template", "svg"}
+_BLOCKS = {"address", "article", "aside", "blockquote", "br", "div", "dl", "dd", "dt", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+
+
 class _Visible(HTMLParser):
-    SKIPPED = {"script", "style", "noscript", "template", "svg"}
-    BLOCKS = {"p", "div", "section", "article", "ul", "ol", "table", "tr", "br", "pre", "blockquote", "nav", "header", "footer", "main", "aside", "figure", "hr", "li"}
+    """The words of a page; inside a skipped element nothing counts, not even the title."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.title: list[str] = []
+        self.into = self.out
         self.skip = 0
-        self.in_title = False
+
+    def _mark(self, tag: str, opens: bool) -> None:
+        if tag == "title":
+            self.into = self.title if opens else self.out
+        elif tag in _BLOCKS:
+            heading = opens and len(tag) == 2 and tag[1].isdigit()
+            self.out.append("\n\n" + ("#" * int(tag[1]) + " " if heading else ""))
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.SKIPPED:
+        if tag in _SKIPPED:
             self.skip += 1
-        elif tag == "title":
-            self.in_title = True
-        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag in self.BLOCKS:
-            self.out.append("\n- " if tag == "li" else "\n" if tag in ("br", "tr") else "\n\n")
+        elif not self.skip:
+            self._mark(tag, True)
 
     def handle_endtag(self, tag):
-        if tag in self.SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "title":
-            self.in_title = False
-        elif tag in self.BLOCKS or len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            self.out.append("\n\n")
+        if tag in _SKIPPED:
+            self.skip -= self.skip > 0
+        elif not self.skip:
+            self._mark(tag, False)
 
     def handle_data(self, data):
-        if self.skip:
-            return
-        (self.title if self.in_title else self.out).append(data)
+        if not self.skip:
+            self.into.append(data)
 
 
 def visible(markup: str) -> tuple[str, str]:
-    """(title, text) of a page: headings as ATX, blocks parted, scripts and styles out; broken markup never fails."""
+    """(title, text) of a page: headings as ATX, blocks parted by blank lines, scripts and styles out; broken markup never fails. The
+    text is raw: normalizing it squeezes the blank lines."""
     p = _Visible()
     p.feed(markup)
     p.close()
-    text = re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(p.out))
-    return " ".join("".join(p.title).split()), re.sub(r"\n{3,}", "\n\n", text).strip()
+    return "".join(p.title).strip(), "".join(p.out)
 
 
 @batched("title string, text string")

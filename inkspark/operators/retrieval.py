@@ -5,12 +5,19 @@ Many queries at once is the natural form: queries are rows. Postings are tables,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from inkspark.functions.text import let
+from inkspark.operators.joins import small
+from inkspark.plans.lineage import cut
 
 # Saturation and length weight of BM25, and the rank offset of reciprocal rank fusion.
 K1, B, RANK_OFFSET = 1.2, 0.75, 60
@@ -32,32 +39,39 @@ class LexicalIndex:
 
 
 def lexical_index(chunks: DataFrame, id_col: str, words: Column) -> LexicalIndex:
-    """An inverted index. Chunks without a term count in n and with length 0; null ids are left out."""
+    """An inverted index, written once as a table. Chunks without a term count in n and with length 0; null ids are left out."""
     c = chunks.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("chunk"), F.coalesce(words, F.array().cast("array<string>")).alias("w"))
     # the length rides along in the generator: computed beside it, it would be computed anew for every term
     with_length = let(F.col("w"), lambda w: let(F.size(F.array_distinct(w)), lambda n: F.transform(w, lambda t: F.struct(t.alias("term"), n.alias("len")))))
-    tf = c.select("chunk", F.explode(with_length).alias("x")).groupBy("chunk", "x.term").agg(F.count("*").alias("tf"), F.first("x.len").alias("len"))
-    size = c.select(F.size(F.array_distinct("w")).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    tf = cut(c.select("chunk", F.explode(with_length).alias("x")).groupBy("chunk", "x.term").agg(F.count("*").alias("tf"), F.first("x.len").alias("len")))
+    n, terms = c.count(), tf.count()
+    size = chunks.sparkSession.createDataFrame([(n, terms / n if n else None)], "n bigint, avg_len double")
     return LexicalIndex(tf, tf.groupBy("term").agg(F.count("*").alias("df")), size)
 
 
-def bm25(index: LexicalIndex, queries: DataFrame, query_col: str, words: Column, k: int = 5, sources: DataFrame | None = None) -> DataFrame:
+def bm25(index: LexicalIndex, queries: DataFrame, query_col: str, words: Column, k: int = 5, sources: DataFrame | None = None, block: int = 200_000) -> DataFrame:
     """(query, rank, chunk, score, matched): the k best chunks of each query, ties by chunk.
 
     A query is its set of terms. ``sources`` (chunk) restricts the candidates, while n, df and lengths stay those of the whole index.
-    The query terms meet the postings on the term; a frequent term's postings are spread by AQE's skew join. Scores are
-    rounded to 6 places before ranking, so that the order of addition can't part equal ones.
+    The queries' terms go to the postings in blocks of about ``block`` rows, a proven bound, so that no frequent term's postings are
+    moved: each task adds up its own chunks, and only scores per query and chunk are shuffled. Scores are rounded to 6 places
+    before ranking, so that the order of addition can't part equal ones.
     """
     q = queries.select(F.col(query_col).alias("query"), F.explode(F.array_distinct(words)).alias("term"))
     n, avg_len = index.size.first()
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = index.terms.select("term", idf.alias("idf"))
+    q = cut(q.join(index.terms.select("term", idf.alias("idf")), "term"))
+    blocks = max(1, -(-q.count() // block))
     postings = index.postings if sources is None else index.postings.join(sources, "chunk", "left_semi")
-    hit = q.join(weighted, "term").join(postings, "term")
     norm = K1 * (1 - B + B * F.col("len") / F.lit(avg_len or 1.0))
     s = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    scored = hit.groupBy("query", "chunk").agg(F.round(F.sum(s), 6).alias("score"), F.count("*").alias("matched"))
-    return top(scored, k, "query", "score", "chunk").select("query", "rank", "chunk", "score", "matched")
+
+    def scored(part: DataFrame) -> DataFrame:
+        hit = postings.join(F.broadcast(part), "term")
+        return hit.groupBy("query", "chunk").agg(F.round(F.sum(s), 6).alias("score"), F.count("*").alias("matched"))
+
+    parts = [q] if blocks == 1 else [q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b) for b in range(blocks)]
+    return top(reduce(DataFrame.unionByName, map(scored, parts)), k, "query", "score", "chunk").select("query", "rank", "chunk", "score", "matched")
 
 
 def unit(v: Column) -> Column:
@@ -66,25 +80,79 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
 
 
+def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query, by falling score, then rising id."""
+    order = np.lexsort((ids, -scores, query))
+    q = query[order]
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+    return order[rank < k]
+
+
+def nearest(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k rows of ``vectors`` with the highest cosine to each of ``queries``, all of length 1."""
+    scores = np.round(vectors @ queries.T, 6) + 0.0
+    if len(scores) > k:
+        at = np.nonzero(scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k])
+    else:
+        at = np.nonzero(np.ones(scores.shape, bool))
+    row, query = at
+    keep = _best(query, ids[row], scores[at], k)
+    return query[keep], ids[row[keep]], scores[at][keep]
+
+
 def dense(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, query_col: str, k: int = 5, most_queries: int = 5000) -> DataFrame:
     """(query, rank, chunk, score): the k nearest vectors of each query by exact cosine, ties by chunk; no floor on the score.
 
-    The query set is stated and small: it is sent to the vectors in blocks of ``most_queries``, each block one pass over the
-    vectors without a shuffle of them; only the k best of each task and query go on. Zero or null vectors match nothing.
+    The query set is stated: it goes to the vectors in blocks of ``most_queries``, each block one pass of matrix products over the
+    vectors without a shuffle of them; only the k best of each task and query go on. Null and zero vectors, vectors with a null,
+    and such of another dimension than the query's match nothing; null ids are left out.
     """
-    v = vectors.select(F.col(id_col).alias("chunk"), unit(F.col(vector_col)).alias("v")).where("v is not null")
-    q = queries.select(F.col(query_col).alias("query"), unit(F.col(vector_col)).alias("u")).where("u is not null")
-    n = q.count()
-    blocks = max(1, -(-n // most_queries))
-    out = None
-    for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
-        rows = part.agg(F.collect_list(F.struct("query", "u")).alias("qs"))  # at most a block
-        dot = lambda a, c: F.aggregate(F.zip_with(a, c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        pairs = v.join(F.broadcast(rows), F.lit(True)).select("chunk", "v", F.explode("qs").alias("q"))
-        scored = pairs.select("q.query", "chunk", F.round(dot(F.col("v"), F.col("q.u")), 6).alias("score"))
-        out = scored if out is None else out.unionByName(scored)
-    return top(out, k, "query", "score", "chunk").select("query", "rank", "chunk", "score")
+    q = cut(queries.select(F.col(query_col).alias("query"), unit(F.col(vector_col)).alias("u")).where("u is not null and query is not null"))
+    v = vectors.select(F.col(id_col).alias("chunk"), F.col(vector_col).cast("array<double>").alias("v")).where("chunk is not null and v is not null")
+    blocks = max(1, -(-q.count() // most_queries))
+    arrow = [to_arrow_type(df.schema[c].dataType) for df, c in ((q, "query"), (v, "chunk"))]
+    kinds = [f"query {q.schema['query'].dataType.simpleString()}", f"chunk {v.schema['chunk'].dataType.simpleString()}", "score double"]
+
+    def scored(part: DataFrame) -> DataFrame:
+        rows = sorted(((r["query"], r["u"]) for r in part.collect() if None not in r["u"]), key=lambda r: (len(r[1]), r[0]))
+        by_dim = {n: [r for r in rows if len(r[1]) == n] for n in {len(r[1]) for r in rows}}
+
+        blocks_of = [([r[0] for r in by_dim[n]], np.array([r[1] for r in by_dim[n]])) for n in sorted(by_dim)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: list[list[tuple]] = [[] for _ in blocks_of]
+            for batch in batches:
+                lengths = np.array(batch.column(1).value_lengths())
+                for j, (_, u) in enumerate(blocks_of):
+                    part = batch.take(pa.array(np.flatnonzero(lengths == u.shape[1])))
+                    x = np.asarray(part.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, u.shape[1])
+                    ids = part.column(0).to_numpy(zero_copy_only=False)
+                    ids = ids.astype(str) if ids.dtype == object else ids
+                    norm = np.sqrt((x * x).sum(axis=1))
+                    fine = norm > 0  # false for a null within
+                    x, ids = x[fine] / norm[fine][:, None], ids[fine]
+                    step = max(1, 4_000_000 // len(u))
+                    for at in range(0, len(x), step):
+                        kept[j].append(nearest(x[at : at + step], ids[at : at + step], u, k))
+                        if len(kept[j]) > 16:
+                            kept[j] = [_merged(kept[j], k)]
+            for (names, _), found in zip(blocks_of, kept, strict=True):
+                if found:
+                    query, ids, score = _merged(found, k)
+                    cols = [pa.array([names[i] for i in query], arrow[0]), pa.array(ids).cast(arrow[1]), pa.array(score, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["query", "chunk", "score"])
+
+        return v.mapInArrow(run, ", ".join(kinds))
+
+    parts = [q] if blocks == 1 else [q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b) for b in range(blocks)]
+    return top(reduce(DataFrame.unionByName, map(scored, parts)), k, "query", "score", "chunk").select("query", "rank", "chunk", "score")
+
+
+def _merged(kept: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    query, ids, score = (np.concatenate(x) for x in zip(*kept, strict=True))
+    at = _best(query, ids, score, k)
+    return query[at], ids[at], score[at]
 
 
 def fuse(lexical: DataFrame, dense_: DataFrame, k: int = 5, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
@@ -133,14 +201,22 @@ def citation_metrics(validated: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def case_metrics(results: DataFrame, gold: DataFrame, forbidden: DataFrame, cases: DataFrame, k: int = 5) -> DataFrame:
-    """(query, gold_size, recall, precision, reciprocal_rank, hit, forbidden_hits, retrieved) of each case; recall without gold is 0, and
-    precision divides by what was retrieved."""
-    r = results.where(F.col("rank") <= k).select("query", "chunk", "rank")
-    g = gold.select("query", "chunk").distinct().withColumn("good", F.lit(1))
-    f = forbidden.select("query", "chunk").distinct().withColumn("bad", F.lit(1))
-    per = r.join(g, ["query", "chunk"], "left").join(f, ["query", "chunk"], "left").groupBy("query").agg(F.count("*").alias("retrieved"), F.count("good").alias("hits"), F.count("bad").alias("forbidden_hits"), F.min(F.when(F.col("good") == 1, F.col("rank"))).alias("first"))
+    """The metrics of :func:`judged_metrics` where gold and forbidden chunks are lists of (query, chunk)."""
+    g = gold.select("query", "chunk").distinct().withColumn("good", F.lit(True))
+    f = forbidden.select("query", "chunk").distinct().withColumn("bad", F.lit(True))
+    r = results.where(F.col("rank") <= k).join(g, ["query", "chunk"], "left").join(f, ["query", "chunk"], "left")
     size = g.groupBy("query").agg(F.count("*").alias("gold_size"))
-    x = cases.select("query").join(per, "query", "left").join(size, "query", "left").fillna(0, ["retrieved", "hits", "forbidden_hits", "gold_size"])
+    return judged_metrics(r, cases.select("query").join(size, "query", "left"), k)
+
+
+def judged_metrics(results: DataFrame, cases: DataFrame, k: int = 5) -> DataFrame:
+    """(query, gold_size, recall, precision, reciprocal_rank, hit, forbidden_hits, retrieved) of each case (query, gold_size).
+
+    Results carry their judgement (``good``, ``bad``), so gold need not be listed where it follows from the chunk. Recall without
+    gold is 0, and precision divides by what was retrieved.
+    """
+    per = results.where(F.col("rank") <= k).groupBy("query").agg(F.count("*").alias("retrieved"), F.count_if("good").alias("hits"), F.count_if("bad").alias("forbidden_hits"), F.min(F.when(F.col("good"), F.col("rank"))).alias("first"))
+    x = cases.select("query", "gold_size").join(per, "query", "left").fillna(0, ["retrieved", "hits", "forbidden_hits", "gold_size"])
     ratio = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 6)
     return x.select("query", "gold_size", ratio("hits", "gold_size").alias("recall"), ratio("hits", "retrieved").alias("precision"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"), (F.col("hits") > 0).alias("hit"), "forbidden_hits", "retrieved")
 
@@ -152,9 +228,22 @@ def run_metrics(cases: DataFrame) -> DataFrame:
     return cases.agg(F.count("*").alias("cases"), F.count_if(has).alias("scored"), mean("recall").alias("recall"), mean("precision").alias("precision"), mean("reciprocal_rank").alias("mrr"), mean("hit").alias("hit_rate"), F.sum("forbidden_hits").alias("forbidden_hits"), F.count_if(~has & (F.col("retrieved") > 0)).alias("false_retrievals"))
 
 
+def hashed(grams: Column) -> Column:
+    """128 bits of each gram: what is shuffled in place of its words."""
+    return F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(F.lit(1), g).alias("b")))
+
+
 def overlap(training: DataFrame, held_out: DataFrame, id_col: str, grams: Column) -> DataFrame:
     """(id, windows, shared, ratio): how many of a held-out unit's distinct windows occur in training; ratio null without windows."""
-    seen = training.select(F.explode(grams).alias("g")).distinct().withColumn("seen", F.lit(1))
-    h = held_out.select(F.col(id_col), F.explode(F.array_distinct(grams)).alias("g"))
-    per = h.join(seen, "g", "left").groupBy(id_col).agg(F.count("*").alias("windows"), F.count("seen").alias("shared"))
+    seen = training.select(F.explode(hashed(grams)).alias("g")).select("g.*").distinct().withColumn("seen", F.lit(1))
+    h = held_out.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(hashed(grams))).alias("g")).select("id", "g.*")
+    per = h.join(seen, ["a", "b"], "left").groupBy("id").agg(F.count("*").alias("windows"), F.count("seen").alias("shared")).withColumnRenamed("id", id_col)
     return held_out.select(id_col).join(per, id_col, "left").fillna(0, ["windows", "shared"]).withColumn("ratio", F.round(F.try_divide(F.col("shared"), F.col("windows")), 6))
+
+
+def contaminated(items: DataFrame, item_col: str, item_grams: Column, corpus: DataFrame, corpus_grams: Column) -> DataFrame:
+    """(item) of the items that share a gram with the corpus. The items' grams go to the corpus if they are few (counted first), so
+    that of the corpus only shared grams are moved."""
+    g = items.select(F.col(item_col), F.explode(hashed(item_grams)).alias("g")).select(item_col, "g.*")
+    found = corpus.select(F.explode(hashed(corpus_grams)).alias("g")).select("g.*").join(small(g.select("a", "b").distinct()), ["a", "b"], "left_semi").distinct()
+    return g.join(found, ["a", "b"], "left_semi").select(item_col).distinct()

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that ask for information, that continue a topic, and that point back.
-INFORMATION = ["what", "who", "when", "where", "why", "how", "which", "whose", "explain", "describe", "define", "find", "show", "list", "tell", "compare", "summarize", "search"]
-CONTINUATION = ["it", "its", "they", "them", "their", "this", "that", "these", "those", "he", "she", "his", "her", "also", "more", "else", "further", "again"]
+INFORMATION = ["according", "compare", "define", "describe", "explain", "find", "how", "list", "lookup", "retrieve", "search", "tell", "what", "when", "where", "which", "who", "why"]
+CONTINUATION = ["again", "also", "both", "either", "else", "first", "it", "its", "more", "neither", "second", "than", "that", "these", "they", "them", "this", "those"]
 
 
 def plan(tokens: Column, message: Column, has_sources: Column, topic: Column) -> Column:

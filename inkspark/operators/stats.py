@@ -15,6 +15,7 @@ from inkspark.functions.arrow import batched
 Z = 1.959964
 PAIR = 2.77
 SLACK = 1e-12
+HALF = 1e-11  # a value on half of the last place is rounded up, however its sum was ordered
 
 
 def binomial_tail(k: Column, n: Column) -> Column:
@@ -77,7 +78,7 @@ def design_effect(items: DataFrame, by: list[str], cluster: str, difference: str
     item = F.col("ss") - F.col("items") * e * e
     clustered = F.col("cc") - 2 * e * F.col("cn") + e * e * F.col("nn")
     ratio = F.try_divide(clustered, item)
-    return g.select(*by, "items", "clusters", F.round(e, 6).alias("estimate"), F.round(ratio, 4).alias("ratio"), F.round(F.try_divide(F.col("items"), ratio), 2).alias("effective_items"))
+    return g.select(*by, "items", "clusters", F.round(e + HALF, 6).alias("estimate"), F.round(ratio, 4).alias("ratio"), F.round(F.try_divide(F.col("items"), ratio), 2).alias("effective_items"))
 
 
 def jackknife(clusters: DataFrame, by: list[str], weighted: str, weight: str) -> DataFrame:
@@ -86,7 +87,7 @@ def jackknife(clusters: DataFrame, by: list[str], weighted: str, weight: str) ->
     out = clusters.join(whole, by).withColumn("without", (F.col("_whole") - F.col(weighted)) / (F.col("_weight") - F.col(weight)))
     n = F.count("without")
     se = F.sqrt((n - 1) / n * (F.var_pop("without") * n))
-    return out.groupBy(*by).agg(n.alias("clusters"), F.round(F.first("_whole") / F.first("_weight"), 6).alias("estimate"), F.round(F.min("without"), 6).alias("minimum_without"), F.round(F.max("without"), 6).alias("maximum_without"), F.round(se, 6).alias("standard_error"))
+    return out.groupBy(*by).agg(n.alias("clusters"), F.round(F.first("_whole") / F.first("_weight") + HALF, 6).alias("estimate"), F.round(F.min("without"), 6).alias("minimum_without"), F.round(F.max("without"), 6).alias("maximum_without"), F.round(se, 6).alias("standard_error"))
 
 
 def bootstrap(clusters: DataFrame, by: list[str], cluster: str, weighted: str, weight: str, draws: int = 1000, seed: int = 7, probability: float = 0.95) -> DataFrame:
