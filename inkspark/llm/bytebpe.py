@@ -143,6 +143,13 @@ def tokenizer(path: str) -> ByteBpe:
     return _LOADED[path]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = BYTE_BPE_50K) -> DataFrame:
     """(id, ids ARRAY<INT>) of every row; a null or an empty text gets an empty array.
 
@@ -152,7 +159,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [encode(t) for t in batch.column(1).to_pylist()]
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) >> 2 for x in ids], out=offsets[1:])
@@ -174,7 +181,7 @@ def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", path: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(len(keep)).to_pylist()
             n_chars = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             n_tokens = pa.array([len(encode(t)) >> 2 for t in texts], pa.int64())

@@ -23,7 +23,6 @@ from inkspark.llm.bytebpe import TOKENIZERS
 from inkspark.llm.cleaning import bare, prepare, words_in
 
 PIECES_32K = os.path.join(TOKENIZERS, "piece_bpe_32k.model")
-LONGEST = 14  # characters of a piece that are looked up
 # The words of one letter of the six languages; what may stand around one.
 ONE_LETTER = set("aàyeèoóiu")
 EDGES = ".,;:!?¡¿()[]\"“”„«»*_`-—–…>|"
@@ -37,7 +36,7 @@ def public_pieces(path: str) -> list[str]:
     out = {}
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i).lower()
-        if p != "▁" and p.replace("▁", "", 1).isalpha() and 0 < len(p) <= LONGEST:
+        if p != "▁" and p.replace("▁", "", 1).isalpha():
             out[p] = None
     for c in [chr(c) for c in range(ord("a"), ord("z") + 1)] + [c for p in list(out) for c in p if c != "▁"]:
         out[c] = None
@@ -57,6 +56,7 @@ class Model:
 
     def __post_init__(self):
         self.index = {p: i for i, p in enumerate(self.pieces)}
+        self.longest = max(map(len, self.pieces), default=1)
 
     def cuts(self, word: str) -> list[list[tuple[int, int]]]:
         """For each end of a marked word the (start, piece) of the pieces that end there."""
@@ -64,7 +64,7 @@ class Model:
         out: list[list[tuple[int, int]]] = [[]]
         for e in range(1, n + 1):
             here = []
-            for b in range(max(0, e - LONGEST), e):
+            for b in range(max(0, e - self.longest), e):
                 if (i := get(word[b:e])) is not None:
                     here.append((b, i))
             if not here or (e == 2 and word[0] == "▁" and not any(b == 0 for b, _ in here)):
@@ -175,8 +175,6 @@ class Reader:
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             row = self.rows[word] = self.size
             self.size += 1
-            if len(word) > 40:
-                return row  # says nothing
             s = self.model.score(word)
             self.table[row] = np.clip(s - (s.max() + s.mean()) / 2, -self.clip, self.clip)
         return row
@@ -194,7 +192,7 @@ class Reader:
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         back = np.empty((len(flat), n), np.int8)
         score = flat[starts[: active[0]]].astype(np.float64)
-        final = [None] * len(order)
+        final = [0] * len(order)
         same = np.arange(n, dtype=np.int8)
         for t in range(1, most):
             k = active[t]
@@ -209,15 +207,18 @@ class Reader:
             score = np.where(stay, score, jump[:, None]) + flat[at]
         for j in range(len(score)):
             final[j] = int(score[j].argmax())
+        # back through all texts at once, each from its last word
+        path = np.empty(len(flat), np.int8)
+        state = np.array(final, np.int8)
+        for t in range(most - 1, -1, -1):
+            k = active[t]
+            at = starts[:k] + t
+            path[at] = state[:k]
+            if t:
+                state[:k] = back[at, state[:k]]
         out: list = [None] * len(evidence)
         for j, i in enumerate(order):
-            path = np.empty(lengths[j], np.int64)
-            if lengths[j]:
-                s = final[j]
-                for t in range(lengths[j] - 1, -1, -1):
-                    path[t] = s
-                    s = back[starts[j] + t, s]
-            out[i] = path
+            out[i] = path[starts[j] : starts[j] + lengths[j]]
         return out
 
     def read(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
@@ -241,30 +242,15 @@ class Reader:
         starts = ends - lengths
         sums = np.concatenate([np.zeros((1, ev.shape[1])), np.cumsum(ev, axis=0, dtype=np.float64)])
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-        total = sums[ends] - sums[starts]
-        main = total.argmax(axis=1)
-        # a stretch in another language holds eight words together that speak for it more than for the main one
-        span = 8
-        mixed = np.zeros(len(texts), bool)
-        if len(ev) > span:
-            owner = np.repeat(np.arange(len(texts)), lengths)
-            doc = owner[: len(ev) - span + 1]
-            window = sums[span:] - sums[:-span]
-            gain = window.max(axis=1) - window[np.arange(len(window)), main[doc]]
-            mixed[doc[(gain > 3.0) & (doc == owner[span - 1 :])]] = True
-        todo = [i for i in np.flatnonzero(mixed) if lengths[i] >= self.least_words]
-        paths = dict(zip(todo, self.paths([ev[starts[i] : ends[i]] for i in todo]), strict=True)) if todo else {}
+        todo = np.flatnonzero(lengths >= self.least_words)
+        paths = dict(zip(todo.tolist(), self.paths([ev[starts[i] : ends[i]] for i in todo]), strict=True))
         for i in range(len(texts)):
             n = int(lengths[i])
             if n < self.least_words:
                 continue
-            if i in paths:
-                p = paths[i]
-                edges = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1, [n]])
-                stretches = [(int(p[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            else:
-                stretches = [(int(main[i]), 0, n)]
-            for lang, a, b in stretches:
+            p = paths[i]
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1, [n]])
+            for lang, a, b in ((int(p[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)):
                 if b - a < self.least_words:
                     continue
                 s = sums[starts[i] + b] - sums[starts[i] + a]

@@ -34,8 +34,8 @@ def best_fit(sizes: np.ndarray, capacity: int, limits: Limits = Limits()) -> np.
 
     An item goes to the open container that has room in all three dimensions and scores best: by ``norm`` the one whose
     weighted residual vector would be shortest, by ``dot`` the one whose residual has the largest weighted dot product with the
-    item. Ties go to the container opened first. Without one that has room, a container is opened. A single item may always
-    fill a container, whatever its cost.
+    item. Ties go to the container opened first. Without one that has room, a container is opened. An item of more
+    cost than the limit has a container alone.
     """
     n = len(sizes)
     out = np.empty(n, np.int64)
@@ -47,7 +47,7 @@ def best_fit(sizes: np.ndarray, capacity: int, limits: Limits = Limits()) -> np.
     one = 1.0 / limits.documents
     slack = 1e-12
     for i in range(n):
-        a, c = sizes[i] / capacity, min(1.0, float(sizes[i]) ** 2 / most_cost)
+        a, c = sizes[i] / capacity, float(sizes[i]) ** 2 / most_cost
         x, y, z = (v[:slots] for v in left)
         room = np.flatnonzero((x >= a - slack) & (y >= one - slack) & (z >= c - slack))
         if len(room):
@@ -68,7 +68,7 @@ def best_fit(sizes: np.ndarray, capacity: int, limits: Limits = Limits()) -> np.
         left[0][s] -= a
         left[1][s] -= one
         left[2][s] -= c
-        if left[0][s] < 0.5 / capacity or left[1][s] < one / 2:
+        if left[0][s] < 0.5 / capacity or left[1][s] < one / 2 or left[2][s] < -slack:
             slots -= 1
             for v in (*left, number):
                 v[s] = v[slots]

@@ -64,6 +64,26 @@ def test_few_kinds_of_words_at_the_start_hide_no_stretch(model):
     assert [(LANGS[s[0]], s[1], s[2]) for s in got[0]] == [("en", 0, 220 + len(tail.split()))] and got[1] == []
 
 
+def test_words_of_any_length_speak(model):
+    r = G.Reader(model)
+    assert np.abs(r.table[r._row("donaudampfschifffahrtselektrizitätenhauptbetriebswerk")]).max() > 0
+
+
+def test_short_and_mixed_stretches_are_found(model):
+    """Stretches of 12 to 20 words between two of another language; the model is fitted on one sentence each."""
+    rng = np.random.default_rng(3)
+    found = total = 0
+    for _ in range(60):
+        a, b = rng.choice(6, 2, replace=False)
+        w = SAMPLES[LANGS[b]].split()
+        n = int(rng.integers(12, 21))
+        at = int(rng.integers(0, len(w) - n + 1))
+        text = " ".join([SAMPLES[LANGS[a]], *w[at : at + n], SAMPLES[LANGS[a]]])
+        total += 1
+        found += [s[0] for s in G.Reader(model).read([text])[0]] == [a, b, a]
+    assert found >= 0.9 * total
+
+
 def test_documents_and_stretches(spark):
     s = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(SAMPLES.items())] + [(7, None, "x"), (8, "en", None)], "sample_id int, lang string, text string")
     rows = [(i, SAMPLES[k], k) for i, k in enumerate(LANGS)]

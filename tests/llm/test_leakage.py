@@ -78,7 +78,8 @@ CASES = {
     "zero width": " ".join(w[:2] + "​" + w[2:] for w in W[:14]),
     "marked": " ".join(["**%s**", "_%s_", "<i>%s</i>", "`%s`", "%s[3]"][i % 5] % w for i, w in enumerate(W[:16])),
     "quoted": "> " + "\n> ".join(" ".join(W[i : i + 4]) for i in range(0, 16, 4)),
-    "scanned": " ".join(w.replace("o", "0").replace("l", "1").replace("e", "c") for w in W[:16]),
+    "scanned": " ".join(w.replace("o", "0").replace("l", "1") for w in W[:16]),
+    "page numbers": " ".join([*W[:5], "213", *W[5:10], "| 7 |", *W[10:14]]),
     "two edits": " ".join([*W[:4], "somewhat", *W[4:8], *W[9:13]]),
     "bad text": BAD,
     "dashes": " — ".join(W[:13]),
@@ -104,6 +105,63 @@ def test_cases_and_no_cases(spark):
     assert L.leaked(docs.limit(0), items).collect() == [] and L.leaked(docs, items.limit(0)).collect() == []
 
 
+def test_letters_are_told_apart():
+    assert len({L.fold(w) for w in ("cat", "eat", "car", "ear", "lid", "lld")}) == 6
+    assert L.fold("c10ck") == "clock" and L.fold("1914") == "1914" and L.fold("GR0SS5") == "grosss"
+
+
+def test_numbers_of_an_item_are_its_words():
+    item = "in the spring of 1914 the old captain sold his boat and house"
+    index = L.Items([("n", [item])])
+    texts = [item, item.replace("1914", "1915"), item.replace("1914 ", ""), "x " + item.replace("captain", "captain 88"), " ".join(item.split()[2:])]
+    assert [(d, k) for d, k, _ in index.screen(texts)] == [(0, 0), (1, 0), (2, 0), (3, 0)]
+
+
+@pytest.mark.parametrize(("words", "per"), [(12, 6), (12, 3), (8, 2), (10, 10), (5, 7)])
+def test_no_passage_lacks_a_seed(words, per):
+    """The screen finds what the check of all windows finds, for any length and rate of edits."""
+    rng = random.Random(words * 100 + per)
+    names = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    seen = set()
+    for _ in range(150):
+        item = rng.sample(names, rng.randint(words, words + 14))
+        at = rng.randrange(len(item) - words + 1)
+        part = item[at : at + rng.randint(words - 1, words + 8)]
+        for _ in range(rng.randint(0, len(part) // per + 1)):
+            i = rng.randrange(len(part) + 1)
+            part = rng.choice([part[:i] + ["other"] + part[i:], part[:i] + part[i + 1 :], part[:i] + ["else"] + part[i + 1 :]])
+        text = [*rng.sample(names, 6), *part, *rng.sample(names, 6)]
+        index = L.Items([("i", [" ".join(item)])], words, per)
+        ids = [index.ids.get(w, 0) for w in text]
+        want = L.holds_passage(index.sides[0], np.array(ids), words, per)
+        seen.add(want)
+        assert bool(index.screen([" ".join(text)])) == want
+    assert True in seen
+
+
+def test_many_items_with_one_seed():
+    """A run of words that every item has costs no tiling of every item."""
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choices(letters, k=6))
+    rows = [(str(i), ["once upon a time " + " ".join(word() for _ in range(16))]) for i in range(3000)]
+    index = L.Items(rows)
+    texts = ["so once upon a time there was a " + " ".join(word() for _ in range(30)) for _ in range(20)] + [rows[77][1][0]]
+    assert [(d, k) for d, k, _ in index.screen(texts)] == [(20, 77)]
+
+
+def test_coverage_finds_reordered_passages(spark):
+    filler = "The river moved past the mill and nobody there believed that it would ever rest again. "
+    reordered = " ".join(" ".join(W[i : i + 4]) for i in range(20, -1, -4))
+    texts = {"in order": GOOD, "reordered": reordered, "shuffled": " ".join(random.Random(1).sample(W, len(W))), "half": " ".join(W[: len(W) // 2]), "none": filler}
+    docs = spark.createDataFrame([(n, filler + t + " " + filler) for n, t in texts.items()] + [("null", None)], "doc_id string, text string")
+    items = spark.createDataFrame([("a", GOOD, None), ("b", OTHER, "short")], "pair_identifier string, good string, bad string")
+    got = {r["doc_id"]: (r["pair_identifier"], r["coverage"], r["in_order"]) for r in L.covered(docs, items).collect()}
+    assert got == {"in order": ("a", 1.0, True), "reordered": ("a", 1.0, False)}
+    assert ("reordered", "a") not in {(r[0], r[1]) for r in L.leaked(docs, items).collect()}
+    assert L.covered(docs, items.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("word", ["Müller", "cœur", "straße", "l’été", "naïve", "¿qué", "über"])
 def test_repair_of_wrong_decoding(word):
     broken = "".join(C._high(b) for b in word.encode())

@@ -15,10 +15,8 @@ def test_every_limit_holds_and_little_is_unused(score):
         b = P.best_fit(sizes, 4096, limits)
         used, count = np.bincount(b, sizes), np.bincount(b)
         cost = np.bincount(b, sizes.astype(float) ** 2)
-        alone = np.zeros(b.max() + 1)
-        np.maximum.at(alone, b, sizes.astype(float) ** 2)  # a single item may fill a container, and one of length 0 costs nothing
         assert used.max() <= 4096 and count.max() <= limits.documents
-        assert all(c <= max(limits.attention * 4096**2, x) * (1 + 1e-9) for c, x in zip(cost, alone, strict=True))
+        assert all(n == 1 for c, n in zip(cost, count, strict=True) if c > limits.attention * 4096**2 * (1 + 1e-9))
         assert sorted(set(b.tolist())) == list(range(b.max() + 1))
     b = P.best_fit(sizes, 4096, P.Limits(score=score))
     assert sizes.sum() / 4096 / (b.max() + 1) > 0.9
@@ -32,6 +30,21 @@ def test_best_fit_takes_the_fullest():
         P.Limits(documents=0)
 
 
+def test_best_fit_needs_no_more_than_first_fit():
+    rng = random.Random(9)
+    for _ in range(20):
+        sizes = [rng.randint(1, 700) for _ in range(400)]
+        first: list[int] = []
+        for n in sizes:
+            k = next((k for k, used in enumerate(first) if used + n <= 1000), None)
+            if k is None:
+                first.append(n)
+            else:
+                first[k] += n
+        assert P.best_fit(np.array(sizes), 1000).max() + 1 <= len(first) + 1
+        assert P.best_fit(np.array(sorted(sizes, reverse=True)), 1000).max() + 1 <= len(first)
+
+
 def pieces(spark, rows, arms, **how):
     items = spark.createDataFrame(rows, "doc_id bigint, length bigint, container string")
     return P.pack(items, spark.createDataFrame(arms, "arm string, capacity_chars bigint, doc_id int"), **how).collect()

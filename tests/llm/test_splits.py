@@ -1,6 +1,6 @@
 import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -17,6 +17,14 @@ def test_one_author_in_many_notations(spark):
     assert all(k == ["driderimin|z"] for k in keys(spark, *forms))
 
 
+def test_titles_that_are_names(spark):
+    names = ["John Major", "John Lord", "John Saint", "Jack Ma", "Minh Van", "Don Bell"]
+    want = [["major|j"], ["lord|j"], ["saint|j"], ["ma|j"], ["van|m"], ["bell|d"]]
+    assert keys(spark, *names) == want
+    assert keys(spark, "Major, John", "LORD, J.", "Saint, Rev. John", "Ma, Jack", "Van, M.", "D. Bell") == want
+    assert keys(spark, "Lord Byron", "Byron, Lord", "Prof. Don Bell Jr.", "van Beethoven, Ludwig", "Ludwig van Beethoven, Esq.") == [["byron|l"], ["byron|l"], ["bell|d"], ["beethoven|l"], ["beethoven|l"]]
+
+
 def test_several_authors_and_none(spark):
     got = keys(spark, "A. Berg & Zorn, Max; Dr. Eva Klein and B. Berg", None, "", " ", "Unknown", "[s.n.]", "N/A", "ANONYMOUS", "Various", "Unknown and Max Zorn", "Müller, H. / M. Zorn")
     assert sorted(got[0]) == ["berg|a", "berg|b", "klein|e", "zorn|m"]
@@ -96,6 +104,42 @@ def test_one_component_of_a_third(spark):
     assert abs(sum(1 for r in got if r["split_name"] == "test") - 60) <= 12
 
 
+def test_records_of_one_component_share_a_split(spark):
+    rng = random.Random(5)
+    listed = [(w, f"Ann {'ABCDEFGHIJ'[w % 10]}er{'abcdefg'[w % 7]}" if w < 120 else None, None) for w in range(160)]
+    catalogue = spark.createDataFrame(listed, "ebook_number bigint, author string, ingested_sha256 string")
+    rows = [("document", i, rng.choice([3, rng.randrange(200), rng.randrange(200)])) for i in range(3000)]
+    rows += [("loss", i, 3 if i % 3 == 0 else rng.randrange(200)) for i in range(5000)] + [("loss", 9000 + i, None) for i in range(40)]
+    records = spark.createDataFrame(rows, "kind string, record_id bigint, ebook bigint")
+    plans = {"a": {"train": 0.8, "validation": 0.1, "test": 0.1}, "b": {"x": 0.5, "y": 0.5}, "only": {"all": 1.0}}
+    works, sums = S.assign(S.works_of(records, catalogue))
+    got = S.place(records, works, sums, plans).collect()
+    assert Counter((r["kind"], r["record_id"], r["plan_name"]) for r in got) == Counter((k, i, p) for k, i, _ in rows for p in plans)
+    parts = brute(range(200), [(a, b) for (a, x, _), (b, y, _) in itertools.combinations(listed, 2) if x is not None and x.split()[1] == y])
+    ids = {(k, i): w for k, i, w in rows}
+    by_name = defaultdict(list)
+    for w, a, _ in listed:
+        if a:
+            by_name[a].append(w)
+    parts = brute(range(200), [(ws[0], w) for ws in by_name.values() for w in ws])
+    for plan, shares in plans.items():
+        sides = defaultdict(set)
+        for r in got:
+            if r["plan_name"] == plan:
+                w = ids[r["kind"], r["record_id"]]
+                sides[("lone", r["record_id"]) if w is None else parts[w]].add((r["split_name"], r["component"]))
+        assert all(len(x) == 1 for x in sides.values())
+        size = Counter()
+        for k, i, w in rows:
+            size[("lone", i) if w is None else parts[w], k] += 1
+        for kind, n in (("document", 3000), ("loss", 5040)):
+            largest = max(x for (_, k), x in size.items() if k == kind) / n
+            for s, p in shares.items():
+                reached = sum(r["split_name"] == s and r["plan_name"] == plan and r["kind"] == kind for r in got) / n
+                assert abs(reached - p) <= largest
+    assert S.place(records.limit(0), *S.assign(S.works_of(records.limit(0), catalogue)), plans).collect() == []
+
+
 def test_plans_are_read_once(spark):
     p = spark.createDataFrame([("a", "x", 0.5), ("a", "x", 0.5), ("a", "y", 0.5), (None, "z", 0.1), ("b", "w", 0.0)], "plan_name string, split_name string, target_share double")
     assert S.read_plans(p) == {"a": {"x": 0.5, "y": 0.5}}
