@@ -228,15 +228,6 @@ def scan_corpus_manifest(spark, d):
     return docs(spark, d).select("doc_id", "path", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("byte_count"), F.char_length("text").cast("bigint").alias("char_count"))
 
 
-@query("WITH l AS (SELECT *, first_value(sha256) OVER (PARTITION BY ebook_number ORDER BY listed_at, sha256) AS first FROM catalogue) SELECT ebook_number, count(*) AS listings, count(*) FILTER (sha256 IS DISTINCT FROM first) AS mismatches, count(DISTINCT ingested_sha256) AS ingested FROM l GROUP BY 1")
-def catalog_verify_raw(spark, d):
-    """Listings of a work whose raw digest differs from its first one."""
-    c = table(spark, d, "catalogue")
-    first = c.groupBy("ebook_number").agg(F.min_by("sha256", F.struct("listed_at", "sha256")).alias("first"))
-    g = c.join(first, "ebook_number").groupBy("ebook_number").agg(F.count("*").alias("listings"), F.count_if(~F.col("sha256").eqNullSafe(F.col("first"))).alias("mismatches"), F.count_distinct("ingested_sha256").alias("ingested"))
-    return g
-
-
 @query("WITH f AS (SELECT ebook_number, arg_min(sha256, listed_at) AS raw, arg_min(coalesce(ingested_sha256, ''), listed_at) AS ingested FROM catalogue GROUP BY 1) SELECT c.ebook_number, c.listed_at, CASE WHEN c.sha256 = f.raw THEN 'same' WHEN c.ingested_sha256 IS NULL OR f.ingested = '' THEN 'unclassified' WHEN c.ingested_sha256 = f.ingested THEN 'ingested_text_identical' ELSE 'ingested_text_differs' END AS drift FROM catalogue c JOIN f ON f.ebook_number = c.ebook_number")
 def catalog_classify_drift(spark, d):
     c = table(spark, d, "catalogue")

@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from inkspark.bindings import rules as RB
 from inkspark.bindings.corpus import _SPLIT, docs
-from inkspark.bindings.retrieval import STOP, _index, _lexical, _queries
 from inkspark.bindings.statistics import L, losses
 from inkspark.functions import text as T
 from inkspark.functions import tokens as K
 from inkspark.functions import udfs as U
 from inkspark.operators import digests as G
-from inkspark.operators import retrieval as R
 from inkspark.operators import selection as S
 from inkspark.operators import stats as Z
 from inkspark.plans.registry import query, table
@@ -114,28 +112,6 @@ def answer_codec(spark, d):
     return t.select("pair_identifier", F.from_json("document", "lang string, phenomenon string").alias("r")).select("pair_identifier", "r.phenomenon", "r.lang")
 
 
-def _sufficient(spark, d):
-    idx, qs, w = _index(spark, d), _queries(spark, d), T.words(F.col("text"))
-    return R.sufficient(qs, idx, R.bm25(idx, qs, "doc_id", w), "doc_id", w, STOP)
-
-
-@query()
-def agg_sufficiency(spark, d):
-    """Sufficiency of the queries against whether their source has other documents."""
-    src = docs(spark, d).groupBy("source").agg(F.count("*").alias("n"))
-    x = _sufficient(spark, d).join(docs(spark, d).select(F.col("doc_id").alias("query"), "source"), "query").join(src, "source", "left")
-    answerable = F.coalesce(F.col("n"), F.lit(1)) > 1
-    return x.agg(F.count("*").alias("cases"), F.round(F.avg((F.col("sufficient") == answerable).cast("int")), 6).alias("accuracy"), F.count_if(answerable & ~F.col("sufficient")).alias("false_abstentions"), F.count_if(~answerable & F.col("sufficient")).alias("missed_abstentions"))
-
-
-@query()
-def agg_grounded_retrieval(spark, d):
-    """Rates over the retrieved sets: share of results of the query's own register."""
-    t = docs(spark, d).select(F.col("doc_id").alias("chunk"), F.regexp_extract("path", "^([a-z]+)-pg", 1).alias("register"))
-    q = t.select(F.col("chunk").alias("query"), F.col("register").alias("own"))
-    return _lexical(spark, d).join(t, "chunk").join(q, "query").agg(F.count("*").alias("results"), F.round(F.avg((F.col("register") == F.col("own")).cast("int")), 6).alias("same_register"))
-
-
 @query("SELECT DISTINCT c.register AS label, d.doc_id FROM (SELECT DISTINCT slug, register FROM catalogue WHERE register IS NOT NULL) c JOIN documents d ON d.source = c.slug")
 def labels_resolve(spark, d):
     """Labels (registers of the catalogue) to sources to documents."""

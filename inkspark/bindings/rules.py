@@ -181,11 +181,6 @@ def agg_quality_gates(spark, d):
     return e.groupBy("event_type").agg(F.avg("value").alias("m")).select("event_type", F.round(F.col("m") - F.lit(whole), 6).alias("gap"), (F.abs(F.col("m") - F.lit(whole)) <= 1.0).alias("passes"))
 
 
-@query("SELECT phenomenon, count(*) AS cases, count(*) FILTER (lang = 'en') AS scored, round(avg(length(good)), 6) AS mean_length FROM minimal_pairs GROUP BY 1")
-def agg_by_category(spark, d):
-    return table(spark, d, "minimal_pairs").groupBy("phenomenon").agg(F.count("*").alias("cases"), F.count_if(F.col("lang") == "en").alias("scored"), F.round(F.avg(F.char_length("good")), 6).alias("mean_length"))
-
-
 @query("SELECT lang, sha256('{\"bad\":\"' || min(bad) || '\",\"good\":\"' || min(good) || '\"}') AS version FROM minimal_pairs GROUP BY 1")
 def content_version_json(spark, d):
     """The digest of a record as JSON with its keys in order."""
@@ -193,11 +188,6 @@ def content_version_json(spark, d):
     return g.select("lang", F.sha2(F.to_json(F.struct("bad", "good")), 256).alias("version"))
 
 
-@query("SELECT split_name, count(DISTINCT plan_name) AS plans, round(sum(target_share), 6) AS share FROM split_plan GROUP BY 1 HAVING count(DISTINCT plan_name) > 1")
-def split_leak_gold(spark, d):
-    return table(spark, d, "split_plan").groupBy("split_name").agg(F.count_distinct("plan_name").alias("plans"), F.round(F.sum("target_share"), 6).alias("share")).where("plans > 1")
-
-
 @query("SELECT register, lang, round(control / treatment, 6) AS ratio, CASE WHEN treatment > control * 1.4 THEN 'separable' WHEN treatment > control * 1.36 THEN 'indeterminate' ELSE 'tie' END AS class FROM results_characters_per_identifier WHERE treatment IS NOT NULL AND control IS NOT NULL AND NOT isnan(treatment) AND NOT isnan(control)")
 def classify_tokenizer_arm(spark, d):
     t = table(spark, d, "results_characters_per_identifier").where("treatment is not null and control is not null and not isnan(treatment) and not isnan(control)")

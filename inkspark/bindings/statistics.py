@@ -275,10 +275,3 @@ def margins_by_objective(spark, d):
 def classify_passes(spark, d):
     t = table(spark, d, "results_arms")
     return t.groupBy("arm").agg(F.count("*").alias("reports"), (F.count_distinct("capacity_chars") == 1).alias("same_capacity"), F.round(F.max("packed_identifiers") / F.max("capacity_chars"), 3).alias("per_character"))
-
-
-@query("SELECT ngram_words, count(*) AS runs, sum(pairs_flagged)::BIGINT AS flagged, round(avg(fraction_flagged) FILTER (NOT isnan(fraction_flagged)), 6) AS mean_fraction FROM (SELECT DISTINCT * EXCLUDE run_id FROM results_contamination) GROUP BY 1")
-def agg_failures(spark, d):
-    """Earlier screens by window length, a run that is reported twice counted once."""
-    t = table(spark, d, "results_contamination").drop("run_id").distinct()
-    return t.groupBy("ngram_words").agg(F.count("*").alias("runs"), F.sum("pairs_flagged").alias("flagged"), F.round(F.avg(F.when(~F.isnan("fraction_flagged"), F.col("fraction_flagged"))), 6).alias("mean_fraction"))

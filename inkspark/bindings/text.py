@@ -185,12 +185,6 @@ def pretokenize(spark, d):
     return docs(spark, d).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"( ?[\p{L}]+| ?[\p{N}]+| ?[^ \t\n\r\p{L}\p{N}]+|[ \t\n\r]+)"), F.lit(1))).cast("bigint").alias("pieces"))
 
 
-@query("SELECT doc_id, trim(regexp_extract(text, '(?m)^#{1,6} +(.*)$', 1)) AS heading FROM documents WHERE text IS NOT NULL")
-def source_header_fields(spark, d):
-    """The first heading line of a document, the header field that these texts carry."""
-    return docs(spark, d).select("doc_id", F.trim(F.regexp_extract("text", r"(?md)^#{1,6} +(.*)$", 1)).alias("heading"))
-
-
 @query(None)
 def source_chunk_paragraphs(spark, d):
     c = docs(spark, d).select("doc_id", F.posexplode(T.paragraph_documents(F.col("text"), 4000)).alias("part", "piece"))
