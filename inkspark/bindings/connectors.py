@@ -246,6 +246,19 @@ def scan_sqlite_answers(spark, d):
     return rows.select("answer_id", F.col("record.title").alias("title"))
 
 
+@query(f"WITH {_ANSWERS}, w AS (SELECT a.ebook_number, count(*) AS n, count(DISTINCT a.title) AS titles FROM an a GROUP BY 1) SELECT ebook_number || '-' || (n + 1) AS answer_id, ebook_number || '-' || n AS correction_of, (n + 1) AS seq, CASE WHEN titles > 1 THEN 'qualify' ELSE 'retain' END AS decision FROM w")
+def reassess_stored(spark, d):
+    """The newest answer of every stored conversation assessed anew and recorded as its correction: qualified where the titles that its
+    answers gave don't agree. What the store holds afterwards is read back."""
+    store = _store(spark, d)
+    old = K.decode_answers(store.read(), Y.StructType([Y.StructField("title", Y.StringType())]))
+    g = old.groupBy("conversation_id").agg(F.max_by("answer_id", "seq").alias("correction_of"), F.max("seq").alias("last"), F.count_distinct("record.title").alias("titles"))
+    decision = F.when(F.col("titles") > 1, "qualify").otherwise("retain")
+    new = g.select(F.concat_ws("-", "conversation_id", (F.col("last") + 1).cast("string")).alias("answer_id"), "conversation_id", "correction_of", F.lit(None).cast("timestamp").alias("created_at"), (F.col("last") + 1).alias("seq"), F.to_json(F.struct(decision.alias("decision"))).alias("document"))
+    store.append(cut(new))
+    return store.read().where("created_at is null").select("answer_id", "correction_of", "seq", F.get_json_object("document", "$.decision").alias("decision"))
+
+
 _REPORT = "SELECT coalesce(nullif(lower(trim(register)), ''), 'none') AS source, count(*) AS documents, sum(length(text))::BIGINT AS characters, sum(length(text)) / sum(sum(length(text))) OVER () AS share FROM documents WHERE text IS NOT NULL GROUP BY 1"
 
 

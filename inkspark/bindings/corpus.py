@@ -269,25 +269,6 @@ def source_fetch_cache(spark, d):
     return K.fetch_cache(m, "key", "ingested_at", now, 90 * 86_400, "entry_id").select("path", "snapshot_name", "entry_id")
 
 
-@query("SELECT path, snapshot_name, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ingested_at DESC, entry_id DESC) AS r FROM corpus_manifest) WHERE r <= 2")
-def context_turns_limit(spark, d):
-    """The last two entries of each path."""
-    w = Window.partitionBy("path").orderBy(F.col("ingested_at").desc(), F.col("entry_id").desc())
-    return table(spark, d, "corpus_manifest").withColumn("r", F.row_number().over(w)).where("r <= 2").select("path", "snapshot_name", "entry_id")
-
-
-@query("SELECT arm, strftime(min(ingested_at), '%Y') AS year, count(*) AS n FROM (SELECT snapshot_name AS arm, ingested_at FROM corpus_manifest WHERE ingested_at IS NOT NULL) GROUP BY 1")
-def study_collect(spark, d):
-    return table(spark, d, "corpus_manifest").where("ingested_at is not null").groupBy(F.col("snapshot_name").alias("arm")).agg(F.date_format(F.min("ingested_at"), "yyyy").alias("year"), F.count("*").alias("n"))
-
-
-@query("SELECT pair_identifier, phenomenon, string_agg(v, '' ORDER BY k) AS bits FROM (SELECT pair_identifier, phenomenon, unnest([1, 2, 3]) AS k, CASE unnest([1, 2, 3]) WHEN 1 THEN (length(good) < length(bad))::INT WHEN 2 THEN (good < bad)::INT ELSE (lang = 'en')::INT END::VARCHAR AS v FROM minimal_pairs) GROUP BY 1, 2")
-def outcome_codec(spark, d):
-    """Verdicts of three readings as a string of bits per item."""
-    b = lambda c: c.cast("int").cast("string")
-    return table(spark, d, "minimal_pairs").select("pair_identifier", "phenomenon", F.concat(b(F.char_length("good") < F.char_length("bad")), b(F.col("good") < F.col("bad")), b(F.col("lang") == "en")).alias("bits"))
-
-
 @query(f"WITH {G.tree_sql('per', 'SELECT phenomenon, lang, ' + G.row_sql('pair_identifier') + ' AS d FROM minimal_pairs', ['phenomenon', 'lang'])} SELECT phenomenon, lang, n AS items, digest FROM per")
 def cluster_listing(spark, d):
     """The items of each cluster (phenomenon and language) as a digest."""
@@ -306,9 +287,3 @@ def pick_continuation_items(spark, d):
 @query(f"WITH {G.tree_sql('per', 'SELECT ' + G.row_sql('pair_identifier', 'good', 'bad') + ' AS d FROM minimal_pairs', [])} SELECT n AS items, digest FROM per")
 def items_digest(spark, d):
     return G.tree_digest(table(spark, d, "minimal_pairs"), [], F.col("pair_identifier"), F.col("good"), F.col("bad")).withColumnRenamed("n", "items")
-
-
-@query("SELECT doc_id, CASE WHEN starts_with(path, 'prose') THEN 'literary' WHEN regexp_matches(path, '^(science|technology|mathematics|medicine)') THEN 'technical' ELSE 'other' END AS family FROM documents")
-def filter_acquire_candidates(spark, d):
-    p = F.col("path")
-    return table(spark, d, "documents").select("doc_id", F.when(p.startswith("prose"), "literary").when(p.rlike("^(science|technology|mathematics|medicine)"), "technical").otherwise("other").alias("family"))

@@ -127,13 +127,6 @@ def answer_append_check(spark, d):
     return X.append_violations(old, again.unionByName(odd), "id", "up", "conv")
 
 
-@query("SELECT user_id, event_type, count(*) AS n FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 10 GROUP BY 1, 2")
-def conversation_sources(spark, d):
-    """What each user touched in the last ten turns."""
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return table(spark, d, "events").withColumn("r", F.row_number().over(w)).where("r <= 10").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-
-
 @query("WITH r AS (SELECT user_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, string_agg(event_type, ' > ' ORDER BY r DESC) AS prompt FROM r WHERE r <= 5 GROUP BY 1")
 def render_prompt(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
@@ -169,18 +162,6 @@ def curve_reading(spark, d):
     return g.groupBy("user_id").agg(F.min_by("day", F.struct("v", "day")).alias("best_day"), F.min("v").alias("best"), F.round(F.max_by("v", "day") - F.min("v"), 6).alias("final_minus_best"))
 
 
-@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(avg((value > 50)::INT), 6) AS share FROM events GROUP BY 1")
-def agg_quality_rows(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"), F.round(F.avg((F.col("value") > 50).cast("int")), 6).alias("share"))
-
-
-@query("WITH g AS (SELECT event_type, avg(value) AS m FROM events GROUP BY 1), r AS (SELECT avg(value) AS m FROM events) SELECT event_type, round(g.m - r.m, 6) AS gap, abs(g.m - r.m) <= 1.0 AS passes FROM g, r")
-def agg_quality_gates(spark, d):
-    e = table(spark, d, "events")
-    whole = e.agg(F.avg("value")).first()[0]
-    return e.groupBy("event_type").agg(F.avg("value").alias("m")).select("event_type", F.round(F.col("m") - F.lit(whole), 6).alias("gap"), (F.abs(F.col("m") - F.lit(whole)) <= 1.0).alias("passes"))
-
-
 @query("SELECT lang, sha256('{\"bad\":\"' || min(bad) || '\",\"good\":\"' || min(good) || '\"}') AS version FROM minimal_pairs GROUP BY 1")
 def content_version_json(spark, d):
     """The digest of a record as JSON with its keys in order."""

@@ -257,21 +257,7 @@ def compare_instruments(spark, d):
     return p.select("first", "second", "b", "c", "n", F.round(S.mcnemar_p(F.col("b"), F.col("c")) + HALF, 6).alias("p"))
 
 
-@query("SELECT phenomenon, count(*) AS pairs, round(avg(CASE WHEN length(good) < length(bad) THEN 1.0 WHEN length(good) = length(bad) THEN 0.5 ELSE 0.0 END), 6) AS by_length FROM minimal_pairs GROUP BY ROLLUP (phenomenon)")
-def score_pairs(spark, d):
-    """The length-only reading of the pairs: the shorter text is preferred, ties count half; null is all phenomena."""
-    good, bad = F.char_length("good"), F.char_length("bad")
-    right = F.when(good < bad, 1.0).when(good == bad, 0.5).otherwise(0.0)
-    return table(spark, d, "minimal_pairs").rollup("phenomenon").agg(F.count("*").alias("pairs"), F.round(F.avg(right), 6).alias("by_length"))
-
-
 @query("WITH s AS (SELECT register, stddev_samp(treatment) AS s FROM results_characters_per_identifier WHERE treatment IS NOT NULL AND NOT isnan(treatment) GROUP BY 1) SELECT register, round(2.77 * s, 6) AS tie, round(ceil(2.77 * s / 0.005) * 0.005, 6) AS band FROM s")
 def margins_by_objective(spark, d):
     s = table(spark, d, "results_characters_per_identifier").where("treatment is not null and not isnan(treatment)").groupBy("register").agg(F.stddev_samp("treatment").alias("s"))
     return s.select("register", F.round(S.PAIR * F.col("s"), 6).alias("tie"), F.round(F.ceil(S.PAIR * F.col("s") / 0.005) * 0.005, 6).alias("band"))
-
-
-@query("SELECT arm, count(*) AS reports, count(DISTINCT capacity_chars) = 1 AS same_capacity, round(max(packed_identifiers) / max(capacity_chars), 3) AS per_character FROM results_arms GROUP BY 1")
-def classify_passes(spark, d):
-    t = table(spark, d, "results_arms")
-    return t.groupBy("arm").agg(F.count("*").alias("reports"), (F.count_distinct("capacity_chars") == 1).alias("same_capacity"), F.round(F.max("packed_identifiers") / F.max("capacity_chars"), 3).alias("per_character"))

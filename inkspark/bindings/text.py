@@ -166,13 +166,6 @@ def vocab_char(spark, d):
     return c.select("code", F.row_number().over(Window.orderBy("code")).cast("bigint").alias("id"))
 
 
-@query("SELECT doc_id, length(text) AS n, round(length(regexp_replace(text, '[\\x00-\\x7f]', '', 'g')) / length(text), 6) AS unknown_fraction FROM documents WHERE text <> ''")
-def char_encode(spark, d):
-    """Unknown fraction of each text under the ASCII character vocabulary."""
-    n = F.char_length("text")
-    return docs(spark, d).where("text <> ''").select("doc_id", n.cast("bigint").alias("n"), F.round(F.char_length(F.regexp_replace("text", r"[\x00-\x7f]", "")) / n, 6).alias("unknown_fraction"))
-
-
 @query("WITH w AS (SELECT pair_identifier, unnest(range(1, length(good) + 1)) AS i, good FROM minimal_pairs) SELECT pair_identifier, i AS position, substr('        ' || good, i::BIGINT, 8) AS context, substr(good, i::BIGINT, 1) AS target FROM w")
 def char_windows(spark, d):
     """Sliding (context, target) examples of context 8, padded on the left with blanks for the unknown id."""
@@ -185,12 +178,6 @@ def pretokenize(spark, d):
     return docs(spark, d).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"( ?[\p{L}]+| ?[\p{N}]+| ?[^ \t\n\r\p{L}\p{N}]+|[ \t\n\r]+)"), F.lit(1))).cast("bigint").alias("pieces"))
 
 
-@query(None)
-def source_chunk_paragraphs(spark, d):
-    c = docs(spark, d).select("doc_id", F.posexplode(T.paragraph_documents(F.col("text"), 4000)).alias("part", "piece"))
-    return c.select("doc_id", F.col("part").cast("bigint").alias("part"), F.char_length("piece").cast("bigint").alias("n_chars"), T.sha(F.col("piece")).alias("digest"))
-
-
 @query("SELECT doc_id, CASE WHEN register IS NULL OR trim(register) = '' THEN regexp_extract(path, '^([a-z]+)-pg', 1) ELSE lower(trim(register)) END AS register FROM documents")
 def filter_register_prefix(spark, d):
     return table(spark, d, "documents").select("doc_id", N.register_of(F.col("register"), F.col("path")).alias("register"))

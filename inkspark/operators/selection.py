@@ -86,3 +86,22 @@ def share_select(df: DataFrame, key: str, tokens: Column, is_class: Column, shar
     x = df.withColumn("in_class", F.coalesce(is_class, F.lit(False)))
     x = prefix_sum(x, key, tokens, ["in_class"])
     return x.where(F.col("before") < F.when(F.col("in_class"), share * total).otherwise((1 - share) * total))
+
+
+def walk_divergence(recorded: DataFrame, planned: DataFrame, by: str, position: str, item: str) -> DataFrame:
+    """(by, diverges_at): the first position at which a recorded walk is not the planned one, null where it is its beginning."""
+    p = planned.select(by, position, F.col(item).alias("_planned"))
+    j = recorded.join(p, [by, position], "left")
+    return j.groupBy(by).agg(F.min(F.when(~F.col(item).eqNullSafe(F.col("_planned")), F.col(position))).alias("diverges_at"))
+
+
+def pick_unique(kinds: list[DataFrame], key: str, most: int, order) -> DataFrame:
+    """The first ``most`` rows of each of a few kinds in the given order, leaving out rows whose ``key`` an earlier kind has picked and
+    those that differ in nothing from their false form. Ties go by key."""
+    taken = None
+    for k in kinds:
+        k = k.where(F.col("good") != F.col("bad")) if {"good", "bad"} <= set(k.columns) else k
+        left = k if taken is None else k.join(taken.select(key), key, "left_anti")
+        first = left.withColumn("_o", order(left)).orderBy("_o", key).limit(most).select(*k.columns)
+        taken = first if taken is None else taken.unionByName(first)
+    return taken
