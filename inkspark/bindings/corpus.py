@@ -11,6 +11,7 @@ from inkspark.functions import text as T
 from inkspark.operators import duplicates as D
 from inkspark.operators import digests as G
 from inkspark.operators import selection as S
+from inkspark.operators.joins import spread
 from inkspark.plans.registry import query, table
 from inkspark.sources import stores as K
 
@@ -21,7 +22,7 @@ def docs(spark, d):
 
 def sized(spark, d):
     """Documents with their words and one separator as tokens, and a seeded order key."""
-    t = docs(spark, d).select("doc_id", "source", N.register_of(F.col("register"), F.col("path")).alias("register"), F.char_length("text").cast("bigint").alias("chars"), F.size(T.words(F.col("text"))).cast("bigint").alias("tokens"))
+    t = spread(docs(spark, d), "doc_id").select("doc_id", "source", N.register_of(F.col("register"), F.col("path")).alias("register"), F.char_length("text").cast("bigint").alias("chars"), F.size(T.words(F.col("text"))).cast("bigint").alias("tokens"))
     return t.withColumn("key", S.order_key(7, F.col("doc_id")))
 
 
@@ -52,7 +53,7 @@ def sketch_bottom_k(spark, d):
 
 def reissued(spark, d):
     """(doc_id, w): the tokens of every text and, under -doc_id - 1, the same without one of them: near duplicates to be found."""
-    t = docs(spark, d).select("doc_id", T.blank_tokens(F.col("text")).alias("w"))
+    t = spread(docs(spark, d), "doc_id").select("doc_id", T.blank_tokens(F.col("text")).alias("w"))
     place = F.try_mod("doc_id", F.size("w").cast("bigint")).cast("int")
     copy = t.withColumn("gone", place).select((-F.col("doc_id") - 1).alias("doc_id"), F.concat(F.slice("w", F.lit(1), F.coalesce("gone", F.lit(0))), F.slice("w", F.coalesce("gone", F.lit(0)) + 2, F.greatest(F.size("w"), F.lit(1)))).alias("w"))
     return t.unionByName(copy)

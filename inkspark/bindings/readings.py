@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkspark.bindings import rules as RB
+from inkspark.bindings.connectors import _local, _room
 from inkspark.bindings.corpus import _SPLIT, docs
 from inkspark.bindings.statistics import L, losses
 from inkspark.functions import text as T
@@ -14,6 +17,7 @@ from inkspark.functions import udfs as U
 from inkspark.operators import digests as G
 from inkspark.operators import selection as S
 from inkspark.operators import stats as Z
+from inkspark.plans.lineage import cut
 from inkspark.plans.registry import query, table
 
 
@@ -48,6 +52,34 @@ def token_classes(spark, d):
     return g.withColumn("share", F.round(F.col("tokens") / F.sum("tokens").over(Window.partitionBy()), 6))
 
 
+def _merges(spark, name):
+    """(left, right, place) of the merges of a public vocabulary."""
+    pairs = K.merges(os.path.join(os.path.dirname(K.PATH), name))
+    return spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "left string, right string, place int")
+
+
+@query()
+def merge_overlap(spark, d):
+    """Two public vocabularies: the Jaccard similarity of their merges, the rank correlation of those they share (null below three), and
+    how far the first compresses the corpus."""
+    a, b = _merges(spark, "byte_bpe_50k.json"), _merges(spark, "word_bpe_49k.json")
+    j = cut(a.withColumnRenamed("place", "pa").join(b.withColumnRenamed("place", "pb"), ["left", "right"], "full_outer"))
+    both = j.where("pa is not null and pb is not null")
+    n = both.count()
+    rho = Z.spearman(both, "pa", "pb").first()["rho"] if n > 2 else None
+    used = _encoded(spark, d).agg(F.count("*").alias("documents"), F.sum(F.char_length("text")).alias("characters"), F.sum(F.size("ids")).alias("identifiers"))
+    return used.select(F.lit(n).alias("shared"), F.lit(round(n / max(1, j.count()), 6)).alias("jaccard"), F.lit(rho).cast("double").alias("rank_correlation"), "documents", "characters", "identifiers", F.round(F.col("characters") / F.col("identifiers"), 6).alias("characters_per_identifier"))
+
+
+@query()
+def bpe_vocab_io(spark, d):
+    """A public vocabulary's merges through a file with their digest, and back."""
+    pairs = K.merges()
+    path = f"{_local(_room(spark))}.json"
+    digest = K.save_vocabulary(path, pairs)
+    return spark.createDataFrame([(digest, len(pairs), K.load_vocabulary(path) == pairs)], "digest string, merges int, same boolean")
+
+
 @query()
 def loop_tail(spark, d):
     return docs(spark, d).select("doc_id", U.loops("text").alias("l")).select("doc_id", (F.col("l.tail_period") > 0).alias("loops"), "l.tail_period")

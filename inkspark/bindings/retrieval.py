@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkspark.bindings.text import WORDS
 from inkspark.functions import text as T
 from inkspark.operators import retrieval as R
+from inkspark.operators.joins import spread
 from inkspark.plans.registry import query, table
 
 # Function words, which tell no text from another.
@@ -14,7 +15,7 @@ STOP = ["a", "an", "and", "any", "are", "as", "at", "be", "been", "being", "but"
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").where("text is not null")
+    return spread(table(spark, d, "documents").where("text is not null"), "doc_id")
 
 
 def _index(spark, d):

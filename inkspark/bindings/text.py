@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkspark.functions import notation as N
 from inkspark.functions import text as T
 from inkspark.functions import udfs as U
+from inkspark.operators.joins import spread
 from inkspark.plans.registry import query, table
 
 WORDS = "regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')"
@@ -20,7 +21,7 @@ def grams_sql(tokens: str, n: int) -> str:
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").where("text is not null")
+    return spread(table(spark, d, "documents").where("text is not null"), "doc_id")
 
 
 @query(f"SELECT doc_id, sha256({LF}) AS digest, length({LF}) AS n_chars FROM documents WHERE text IS NOT NULL")

@@ -236,7 +236,7 @@ def hashed(grams: Column) -> Column:
 def overlap(training: DataFrame, held_out: DataFrame, id_col: str, grams: Column) -> DataFrame:
     """(id, windows, shared, ratio): how many of a held-out unit's distinct windows occur in training; ratio null without windows."""
     seen = training.select(F.explode(hashed(grams)).alias("g")).select("g.*").distinct().withColumn("seen", F.lit(1))
-    h = held_out.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(hashed(grams))).alias("g")).select("id", "g.*")
+    h = held_out.select(F.col(id_col).alias("id"), F.explode(hashed(F.array_distinct(grams))).alias("g")).select("id", "g.*")
     per = h.join(seen, ["a", "b"], "left").groupBy("id").agg(F.count("*").alias("windows"), F.count("seen").alias("shared")).withColumnRenamed("id", id_col)
     return held_out.select(id_col).join(per, id_col, "left").fillna(0, ["windows", "shared"]).withColumn("ratio", F.round(F.try_divide(F.col("shared"), F.col("windows")), 6))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspark.functions.arrow import batched
+from inkspark.plans.lineage import cut
 
 # The normal quantile of Wilson intervals, the factor of a difference of two runs, and slacks.
 Z = 1.959964
@@ -50,15 +51,26 @@ def wilson(successes: Column, trials: Column) -> tuple[Column, Column]:
     return F.when(trials > 0, F.greatest(F.lit(0.0), centre - half)).otherwise(0.0), F.when(trials > 0, F.least(F.lit(1.0), centre + half)).otherwise(1.0)
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row ``rho``: Pearson correlation of average ranks, 0 where a side has no spread. Meant for per-group summaries, since a global
-    rank needs one order."""
+def average_ranks(df: DataFrame, value: str) -> DataFrame:
+    """(value, rank) of the distinct values: the average rank of the rows that have it, from 1; nulls are left out.
+
+    Values are counted first and dealt into ranges; a range's ranks need the sizes of the ranges before it alone, so no task orders
+    all values.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("c"))
+    part = cut(per.repartitionByRange("value").withColumn("p", F.spark_partition_id()))
+    before = part.groupBy("p").agg(F.sum("c").alias("c")).select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("before"))  # a row per range
+    own = F.sum("c").over(Window.partitionBy("p").orderBy("value")) - F.col("c")
+    return part.withColumn("own", own).join(F.broadcast(before), "p").select("value", (F.col("before") + F.col("own") + (F.col("c") + 1) / 2).alias("rank"))
 
-    def ranks(c: str) -> Column:
-        return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
 
-    r = df.select(ranks(x).alias("rx"), ranks(y).alias("ry"))
-    return r.agg(F.round(F.coalesce(F.nanvl(F.corr("rx", "ry"), F.lit(0.0)), F.lit(0.0)), 6).alias("rho"))
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row ``rho``: Pearson correlation of average ranks, 0 where a side has no spread; rows with a null are left out."""
+    d = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
+    rx, ry = (average_ranks(d, c).select(F.col("value").alias(c), F.col("rank").alias(f"r{c}")) for c in "xy")
+    r = d.join(rx, "x").join(ry, "y")
+    rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
+    return r.agg(F.round(F.coalesce(rho, F.lit(0.0)), 6).alias("rho"))
 
 
 def holm(df: DataFrame, p: str, tie: str, alpha: float = 0.05) -> DataFrame:

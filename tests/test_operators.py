@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from inkspark.bindings import QUERIES, SQL
 from inkspark.bindings.statistics import losses
 from inkspark.functions import text as T
+from inkspark.functions import tokens as K
 from inkspark.functions import udfs as U
 from inkspark.operators import duplicates as D
 from inkspark.operators import digests as I
@@ -161,6 +162,30 @@ def test_holm(spark, ps, want):
     assert "".join("T" if got[i] else "F" for i in range(len(ps))) == want
 
 
+def test_average_ranks_and_rank_correlation(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(40), rng.randrange(60)) for _ in range(500)] + [(None, 3)]
+    df = spark.createDataFrame(rows, "x int, y int").repartition(7)
+    ranks = lambda v: {k: sum(a < k for a in v) + (sum(a == k for a in v) + 1) / 2 for k in set(v)}
+    xs, ys = zip(*[r for r in rows if r[0] is not None], strict=True)
+    assert {r["value"]: r["rank"] for r in Z.average_ranks(df, "x").collect()} == ranks(xs)
+    a, b = [ranks(xs)[x] for x in xs], [ranks(ys)[y] for y in ys]
+    ma, mb = sum(a) / len(a), sum(b) / len(b)
+    rho = sum((p - ma) * (q - mb) for p, q in zip(a, b, strict=True)) / math.sqrt(sum((p - ma) ** 2 for p in a) * sum((q - mb) ** 2 for q in b))
+    assert Z.spearman(df, "x", "y").first()["rho"] == pytest.approx(rho, abs=1e-6)
+    assert Z.spearman(df.withColumn("x", F.lit(1)), "x", "y").first()["rho"] == 0.0
+
+
+def test_vocabulary_files_are_checked(tmp_path):
+    pairs = [("a", "b"), ("ab", " c")]
+    path = str(tmp_path / "v.json")
+    digest = K.save_vocabulary(path, pairs)
+    assert K.load_vocabulary(path) == pairs and len(digest) == 64
+    Path(path).write_text(Path(path).read_text().replace('"ab"', '"ax"'))
+    with pytest.raises(ValueError, match="not those"):
+        K.load_vocabulary(path)
+
+
 def test_quantiles():
     assert Z.t_quantile(0.975, 4) == pytest.approx(2.776445, abs=1e-5) and Z.t_quantile(0.025, 1) == pytest.approx(-12.7062, abs=1e-3)
     assert Z.chi_square_quantile(0.975, 4) == pytest.approx(11.143287, abs=1e-5) and Z.chi_square_quantile(0.025, 1) == pytest.approx(0.000982, abs=1e-6)
