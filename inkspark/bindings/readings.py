@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkspark.bindings import rules as RB
 from inkspark.bindings.connectors import _local, _room
 from inkspark.bindings.corpus import _SPLIT, docs
-from inkspark.bindings.statistics import L, losses
+from inkspark.bindings.statistics import T975, L, losses, tail_sql
 from inkspark.functions import text as T
 from inkspark.functions import tokens as K
 from inkspark.functions import udfs as U
@@ -18,7 +18,7 @@ from inkspark.operators import digests as G
 from inkspark.operators import selection as S
 from inkspark.operators import stats as Z
 from inkspark.plans.lineage import cut
-from inkspark.plans.registry import query, table
+from inkspark.plans.registry import SQL, query, table
 
 
 def _encoded(spark, d):
@@ -205,7 +205,7 @@ def classify_one_pass(spark, d):
     return t.groupBy("experiment", "run_seed").agg(F.avg("b").alias("b")).join(g, "experiment").select("experiment", "run_seed", F.round(F.try_divide(F.col("b") - F.col("t"), F.col("h") - F.col("t")), 4).alias("fraction"))
 
 
-@query()
+@query(f"WITH {L}, r AS (SELECT experiment, run_seed, avg(x) AS v FROM l WHERE experiment IS NOT NULL GROUP BY 1, 2), g AS (SELECT experiment, count(*) AS n, avg(v) AS m, var_samp(v) AS s FROM r GROUP BY 1), p AS (SELECT a.experiment AS first, b.experiment AS second, a.m - b.m AS gap, {T975}[a.n + b.n - 2] * sqrt(((a.n - 1) * a.s + (b.n - 1) * b.s) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)) AS half FROM g a JOIN g b ON a.experiment < b.experiment) SELECT first, second, round(gap + 1e-11, 6) AS gap, CASE WHEN abs(gap) > half THEN 'ordered' WHEN half <= 0.01 THEN 'tied' ELSE 'unresolved' END AS grade FROM p")
 def contrast_grades(spark, d):
     """All pairs of experiments by a pooled-variance interval over their runs: ordered, tied or unresolved."""
     r = losses(spark, d).where("experiment is not null").groupBy("experiment", "run_seed").agg(F.avg("x").alias("v"))
@@ -216,16 +216,16 @@ def contrast_grades(spark, d):
     pooled = ((F.col("n_first") - 1) * F.col("s_first") + (F.col("n_second") - 1) * F.col("s_second")) / free
     half = Z.t_quantile_column(F.lit(0.975), free) * F.sqrt(pooled * (1 / F.col("n_first") + 1 / F.col("n_second")))
     gap = F.col("m_first") - F.col("m_second")
-    return x.select("first", "second", F.round(gap, 6).alias("gap"), F.when(F.abs(gap) > half, "ordered").when(half <= 0.01, "tied").otherwise("unresolved").alias("grade"))
+    return x.select("first", "second", F.round(gap + Z.HALF, 6).alias("gap"), F.when(F.abs(gap) > half, "ordered").when(half <= 0.01, "tied").otherwise("unresolved").alias("grade"))
 
 
-@query()
+@query(f"WITH {L}, r AS (SELECT experiment, run_seed, avg(x) AS v FROM l WHERE run_seed IS NOT NULL GROUP BY 1, 2), g AS (SELECT experiment, count(*) AS n, avg(v) AS m, stddev_samp(v) AS s, count(*) FILTER (v > 0) AS k FROM r GROUP BY 1), h AS (SELECT *, {T975}[n - 1] * s / sqrt(n) AS half FROM g) SELECT experiment, n, round(m - half, 6) AS low, round(m + half, 6) AS high, round({tail_sql('greatest(k, n - k)', 'n')} + 1e-11, 6) AS p, CASE WHEN abs(m) > half THEN 'moved' ELSE 'unmoved' END AS verdict FROM h")
 def classify_seed_spread(spark, d):
     """Paired deltas over runs: interval, sign test, verdict."""
     r = losses(spark, d).where("run_seed is not null").groupBy("experiment", "run_seed").agg(F.avg("x").alias("v"))
     g = r.groupBy("experiment").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s"), F.count_if(F.col("v") > 0).alias("k"))
     half = Z.t_quantile_column(F.lit(0.975), F.col("n") - 1) * F.col("s") / F.sqrt("n")
-    return g.select("experiment", "n", F.round(F.col("m") - half, 6).alias("low"), F.round(F.col("m") + half, 6).alias("high"), F.round(Z.sign_test_p(F.col("k"), F.col("n")), 6).alias("p"), F.when(F.abs("m") > half, "moved").otherwise("unmoved").alias("verdict"))
+    return g.select("experiment", "n", F.round(F.col("m") - half, 6).alias("low"), F.round(F.col("m") + half, 6).alias("high"), F.round(Z.sign_test_p(F.col("k"), F.col("n")) + Z.HALF, 6).alias("p"), F.when(F.abs("m") > half, "moved").otherwise("unmoved").alias("verdict"))
 
 
 @query()
@@ -235,7 +235,7 @@ def loss_pairs_compare(spark, d):
     return Z.jackknife(c, ["experiment"], "vx", "wx").join(Z.bootstrap(c, ["experiment"], "work", "vx", "wx"), "experiment")
 
 
-@query()
+@query(f"SELECT a.*, b.p, b.rejected FROM ({SQL['agg_design_effect']}) a JOIN ({SQL['stat_holm']}) b ON a.experiment = b.experiment")
 def clustered_probe_read(spark, d):
     """Design effect and exact p of each experiment, with the family's step-down rejections."""
     t = losses(spark, d).where("experiment is not null")
@@ -255,7 +255,7 @@ def source_ingest_text(spark, d):
     return docs(spark, d).select("doc_id", T.source_id(F.concat(F.lit("text:"), F.col("doc_id").cast("string")), F.col("text")).alias("source_id"))
 
 
-@query()
+@query(f"WITH {RB._DECIDE}, an AS (SELECT answer, CASE WHEN bool_or(decision = 'correct') THEN 'correct' WHEN bool_or(decision = 'qualify') THEN 'qualify' WHEN bool_and(new = 'not_evaluated') THEN 'abstain' ELSE 'retain' END AS answer_decision FROM dc GROUP BY 1) SELECT answer, claim, prior, new, decision, answer_decision FROM dc JOIN an USING (answer)")
 def reassess(spark, d):
     """Claims grounded anew, decided, and the answers' decisions in one."""
     from inkspark.operators import rules as X

@@ -125,16 +125,22 @@ def stat_sign_flip(spark, d):
     return S.sign_flip(c, "v")
 
 
-@query()
+# Quantiles of Student's distribution (0.975) and of chi square (0.975, 0.025) for 1 to 10 degrees of freedom.
+T975 = "[12.7062047364, 4.30265272991, 3.18244630528, 2.7764451052, 2.57058183661, 2.44691184879, 2.36462425101, 2.30600413503, 2.26215716274, 2.22813885196]"
+C975 = "[5.02388618731, 7.37775890823, 9.34840360450, 11.1432867818, 12.8325019940, 14.4493753354, 16.0127642640, 17.5345461395, 19.0227677986, 20.4831773508]"
+C025 = "[0.00098206911718, 0.0506356159686, 0.215795282623, 0.484418557087, 0.831211613486, 1.23734424584, 1.68986918067, 2.17973074725, 2.70038949998, 3.24697278024]"
+
+
+@query(f"WITH {L}, r AS (SELECT experiment, run_seed, avg(x) AS x FROM l GROUP BY 1, 2), g AS (SELECT experiment, count(*) AS n, avg(x) AS m, stddev_samp(x) AS s FROM r GROUP BY 1), h AS (SELECT *, {T975}[n - 1] * s / sqrt(n) AS half FROM g) SELECT experiment, n, round(m + 1e-11, 6) AS mean, round(m - half, 6) AS low, round(m + half, 6) AS high FROM h")
 def stat_t_interval(spark, d):
     """Mean difference of each experiment with its interval over runs."""
     runs = losses(spark, d).groupBy("experiment", "run_seed").agg(F.avg("x").alias("x"))
     g = runs.groupBy("experiment").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
     half = S.t_quantile_column(F.lit(0.975), F.col("n") - 1) * F.col("sd") / F.sqrt("n")
-    return g.select("experiment", "n", F.round("mean", 6).alias("mean"), F.round(F.col("mean") - half, 6).alias("low"), F.round(F.col("mean") + half, 6).alias("high"))
+    return g.select("experiment", "n", F.round(F.col("mean") + HALF, 6).alias("mean"), F.round(F.col("mean") - half, 6).alias("low"), F.round(F.col("mean") + half, 6).alias("high"))
 
 
-@query()
+@query(f"WITH {L}, r AS (SELECT experiment, run_seed, avg(b) AS v FROM l GROUP BY 1, 2), g AS (SELECT experiment, count(*) AS runs, avg(v) AS mean, stddev_samp(v) AS sd, median(v) AS median, min(v) AS min, max(v) AS max FROM r GROUP BY 1) SELECT experiment, runs, round(mean, 6) AS mean, round(sd, 6) AS sd, round(median, 6) AS median, round(min, 6) AS min, round(max, 6) AS max, round(max - min, 6) AS range, round(sd * sqrt((runs - 1) / {C975}[runs - 1]), 6) AS sd_low, round(sd * sqrt((runs - 1) / {C025}[runs - 1]), 6) AS sd_high FROM g")
 def agg_seed_metric(spark, d):
     """Runs, mean, deviation with its interval, median and extent of each experiment's loss over its seeds."""
     runs = losses(spark, d).groupBy("experiment", "run_seed").agg(F.avg("b").alias("v"))
@@ -143,7 +149,7 @@ def agg_seed_metric(spark, d):
     return g.select("experiment", "runs", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "median", "min", "max")], F.round(F.col("max") - F.col("min"), 6).alias("range"), edge(0.975).alias("sd_low"), edge(0.025).alias("sd_high"))
 
 
-@query()
+@query(f"WITH {L}, g AS (SELECT experiment, count(DISTINCT run_seed) - 1 AS degrees FROM l GROUP BY 1) SELECT experiment, degrees, CASE WHEN degrees > 0 THEN round({C975}[degrees], 6) END AS q FROM g")
 def stat_chi_square_q(spark, d):
     """Quantiles for the degrees of freedom that the experiments have."""
     g = losses(spark, d).groupBy("experiment").agg((F.count_distinct("run_seed") - 1).alias("degrees"))

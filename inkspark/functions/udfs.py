@@ -20,20 +20,24 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def tail_period(text: str, least: int = 1, repeats: int = 3) -> int:
-    """The shortest period whose block ends the text ``repeats`` times or more; 0 if there is none. By the failure function of the
-    reversed text, so in linear time."""
-    r = text[::-1]
-    fail, k = [0] * len(r), 0
-    for i in range(1, len(r)):
-        while k and r[i] != r[k]:
-            k = fail[k - 1]
-        if r[i] == r[k]:
-            k += 1
-        fail[i] = k
-        n = i + 1
-        p = n - k
-        if n % p == 0 and n // p >= repeats and p >= least:
+    """The shortest period whose block ends the text ``repeats`` times or more; 0 if there is none. Only periods at which the last
+    characters of the blocks agree are compared."""
+    n = len(text)
+    ps = np.arange(least, n // repeats + 1)
+    if not len(ps):
+        return 0
+    a = _codes(text)
+    for back in (1, 2, 3):  # so many last characters, where the block has them
+        for k in range(1, repeats):
+            at = n - back - k * ps
+            ps = ps[(ps < back) | (a[np.maximum(at, 0)] == a[n - back])]
+    for p in ps.tolist():
+        if all(text[n - (k + 1) * p : n - k * p] == text[n - p :] for k in range(1, repeats)):
             return p
     return 0
 
@@ -66,7 +70,7 @@ def periodic_run(text: str) -> tuple[int, int, int]:
     n log n in all, and each by exact comparison. Periods that can't reach the best so far are left out.
     """
     n, best, period, start = len(text), 1, 0, 0
-    a = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    a = _codes(text)
     p = 1
     while p < _SHORT and p <= n // max(best, 2):
         if b"\1" * ((max(best, 2) - 1) * p) in (a[p:] == a[:-p]).tobytes():

@@ -141,6 +141,11 @@ def test_sections_chunks_and_pages():
 
 
 def test_loops():
+    for _ in range(500):
+        t = "".join(random.choices("abé"[: random.randint(1, 3)], k=random.randint(0, 9))) + "".join(random.choices("abé", k=random.randint(1, 6))) * random.randint(1, 4)
+        for least, k in ((1, 3), (2, 3), (1, 2), (3, 4)):
+            want = next((p for p in range(least, len(t) // k + 1) if t.endswith(t[-p:] * k)), 0)
+            assert U.tail_period(t, least, k) == want
     assert U.tail_period("xyabcabcabc") == 3 and U.tail_period("abcd") == 0 and U.tail_period("") == 0
     for _ in range(100):
         s = "".join(random.choices("ab", k=random.randint(2, 14)))
