@@ -13,6 +13,7 @@ from pyspark.sql import types as Y
 from inkspark.bindings.corpus import docs
 from inkspark.bindings.text import _NORMAL, LF
 from inkspark.functions import text as T
+from inkspark.functions import udfs as U
 from inkspark.operators import digests as G
 from inkspark.plans.lineage import cut, shared_folder
 from inkspark.plans.registry import query, table
@@ -284,6 +285,27 @@ def sink_data_card(spark, d):
     return spark.createDataFrame([(i, x) for i, x in enumerate(lines) if x], "n int, line string")
 
 
+@query("WITH r AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^ \\t\\n\\r]+'), lambda w: length(w)) AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"words\":' || CASE WHEN len(l) > 8 THEN '{\"left_out\":' || len(l) || ',\"sha256\":\"' || sha256(to_json(l)) || '\"}' ELSE to_json(l)::VARCHAR END || '}' AS extract FROM r")
+def sink_report_extract(spark, d):
+    """A report of each document with the lengths of its words, written, and its extract: long lists by length and digest."""
+    r = docs(spark, d).select("doc_id", F.to_json(F.struct("doc_id", F.transform(T.blank_tokens(F.col("text")), lambda w: F.char_length(w)).alias("words"))).alias("report"))
+    return r.select("doc_id", U.extract("report").alias("extract"))
+
+
+@query("WITH r AS (SELECT count(*) AS documents, sum(length(text))::BIGINT AS characters, count(DISTINCT source) AS sources FROM documents WHERE text IS NOT NULL) SELECT n::INT AS n, line FROM (SELECT unnest([0, 1, 3, 4, 5]) AS n, unnest(['Corpus', '======', 'documents: ' || documents, 'characters: ' || characters, 'sources: ' || sources]) AS line FROM r)")
+def report_format(spark, d):
+    """The totals of the corpus as lines to read."""
+    g = docs(spark, d).agg(F.count("*").alias("documents"), F.sum(F.char_length("text")).alias("characters"), F.count_distinct("source").alias("sources"))
+    return spark.createDataFrame([(i, x) for i, x in enumerate(K.format_report(g, "Corpus")) if x], "n int, line string")
+
+
+@query("SELECT count(*) AS made, count(*) AS different, true AS valid FROM documents")
+def ids_random(spark, d):
+    """A random identifier for every document: as many different ones, all of the valid form."""
+    ids = cut(table(spark, d, "documents").select(F.concat(F.lit("ans_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16)).alias("id")))
+    return ids.agg(F.count("*").alias("made"), F.count_distinct("id").alias("different"), F.every(T.valid_id(F.col("id"), "ans")).alias("valid"))
+
+
 _GROUNDED = "gr AS (SELECT pair_identifier AS case_id, lang || '-' || phenomenon AS label, CASE WHEN substr(sha256('7|' || pair_identifier), 1, 1) < '8' THEN 'development' ELSE 'held_out' END AS split FROM minimal_pairs)"
 
 

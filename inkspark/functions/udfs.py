@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 import unicodedata
@@ -316,3 +317,22 @@ def block(text: pd.Series) -> pd.DataFrame:
 @batched("array<int>")
 def piece_lengths(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [len(p) for p in split_oversized(t or "", 2000)])
+
+
+def compact(value, most: int = 8):
+    """A report without its bulk: a list of more than ``most`` values is told by its length and the digest of its JSON; numbers, texts and
+    what is short stay, at any depth."""
+    if isinstance(value, dict):
+        return {k: compact(v, most) for k, v in value.items()}
+    if isinstance(value, list):
+        if len(value) > most:
+            body = json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+            return {"left_out": len(value), "sha256": hashlib.sha256(body.encode()).hexdigest()}
+        return [compact(v, most) for v in value]
+    return value
+
+
+@batched("string")
+def extract(report: pd.Series) -> pd.Series:
+    """Reports in JSON, each without its bulk, keys in order."""
+    return report.map(lambda r: None if r is None else json.dumps(compact(json.loads(r)), ensure_ascii=False, separators=(",", ":"), sort_keys=True))

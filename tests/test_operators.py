@@ -153,6 +153,13 @@ def test_loops():
         assert U.repeated_block(s) == best
 
 
+def test_extracts_leave_out_long_lists():
+    long = list(range(20))
+    got = U.compact({"a": {"b": long, "c": [1, [2.5, None]]}, "d": "x"}, 8)
+    want = hashlib.sha256(("[" + ",".join(map(str, long)) + "]").encode()).hexdigest()
+    assert got == {"a": {"b": {"left_out": 20, "sha256": want}, "c": [1, [2.5, None]]}, "d": "x"}
+
+
 def test_binomial_tests(spark):
     df = spark.createDataFrame([(5, 3), (0, 0), (8, 0), (1, 1), (700, 650)], "b bigint, c bigint")
     got = [r[0] for r in df.select(Z.mcnemar_p(F.col("b"), F.col("c"))).collect()]
