@@ -149,14 +149,17 @@ class Reader:
     def __post_init__(self):
         n = len(self.model.languages)
         self.table = np.zeros((1 << 12, n), np.float32)
-        self.size = 0
+        self.size = 1  # row 0 stands for a number: it says nothing of the language
         outer = self
 
         class Known(dict):
             """Rows of the words of a part of text between white space, as bytes."""
 
             def __missing__(self, chunk: str) -> bytes:
-                words = [w for w in words_in(chunk) if w.isalpha()]
+                found = words_in(chunk)
+                if len(found) == 1 and found[0].isdigit() and chunk.strip(EDGES) == found[0]:
+                    return self.setdefault(chunk, bytes(4)) if len(chunk) <= 40 else bytes(4)
+                words = [w for w in found if w.isalpha()]
                 if len(words) > 1 or chunk.strip(EDGES) not in words:
                     words = [w for w in words if len(w) > 1]  # the letter of a formula, a list or a name
                 rows = np.array([outer._row(w) for w in words if len(w) > 1 or w.lower() in ONE_LETTER], np.int32).tobytes()
@@ -224,7 +227,7 @@ class Reader:
     def read(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
         """For each text its stretches (language, first word, words, confidence) in order, stretches of no language left out.
 
-        A stretch has at least ``least_words`` words and enough evidence a word. Its confidence is the posterior of its language
+        A stretch has at least ``least_words`` words, a number between two words being one, and enough evidence a word. Its confidence is the posterior of its language
         over that stretch against the other languages, all alike before.
         """
         get = self.known.__getitem__
@@ -233,7 +236,7 @@ class Reader:
         if self.size > 300_000:
             self.known.clear()
             self.rows.clear()
-            self.size = 0
+            self.size = 1
         parts = [b"".join(map(get, prepare(t).split())) if t else b"" for t in texts]
         lengths = np.array([len(x) >> 2 for x in parts], np.int64)
         ids = np.frombuffer(b"".join(parts), np.int32)
@@ -241,6 +244,11 @@ class Reader:
         ends = np.cumsum(lengths)
         starts = ends - lengths
         sums = np.concatenate([np.zeros((1, ev.shape[1])), np.cumsum(ev, axis=0, dtype=np.float64)])
+        number = ids == 0
+        alone = np.zeros(len(ids) + 1, bool)
+        alone[1:-2] = number[1:-1] & ~number[:-2] & ~number[2:]
+        count = np.concatenate([[0], np.cumsum(~number)])
+        between = np.concatenate([[0], np.cumsum(alone[: len(ids)])])
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
         todo = np.flatnonzero(lengths >= self.least_words)
         paths = dict(zip(todo.tolist(), self.paths([ev[starts[i] : ends[i]] for i in todo]), strict=True))
@@ -251,16 +259,19 @@ class Reader:
             p = paths[i]
             edges = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1, [n]])
             for lang, a, b in ((int(p[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)):
-                if b - a < self.least_words:
+                x, y = starts[i] + a, starts[i] + b
+                words = int(count[y] - count[x])
+                inside = words + (int(between[y - 1] - between[x + 1]) if b - a > 2 else 0)
+                if inside < self.least_words:
                     continue
-                s = sums[starts[i] + b] - sums[starts[i] + a]
-                v = sorted(s.tolist())
-                if (s[lang] - (v[len(v) // 2] + v[(len(v) - 1) // 2]) / 2) / (b - a) < self.least_evidence:
+                e = sums[y] - sums[x]
+                v = sorted(e.tolist())
+                if (e[lang] - (v[len(v) // 2] + v[(len(v) - 1) // 2]) / 2) / words < self.least_evidence:
                     continue
-                words = ids[starts[i] + a : starts[i] + b]  # mostly its first ones hold enough kinds
-                if len(set(words[:200].tolist())) < self.least_distinct and len(set(words.tolist())) < self.least_distinct:
+                kinds = ids[x:y]  # mostly its first ones hold enough kinds
+                if len(set(kinds[:200].tolist()) - {0}) < self.least_distinct and len(set(kinds.tolist()) - {0}) < self.least_distinct:
                     continue
-                out[i].append((lang, a, b - a, 1.0 / sum(math.exp(max(-700.0, min(700.0, x - s[lang]))) for x in v)))
+                out[i].append((lang, a, inside, 1.0 / sum(math.exp(max(-700.0, min(700.0, x - e[lang]))) for x in v)))
         return out
 
 

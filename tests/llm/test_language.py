@@ -64,6 +64,15 @@ def test_few_kinds_of_words_at_the_start_hide_no_stretch(model):
     assert [(LANGS[s[0]], s[1], s[2]) for s in got[0]] == [("en", 0, 220 + len(tail.split()))] and got[1] == []
 
 
+def test_numbers_between_words_are_words(model):
+    r = G.Reader(model)
+    w = SAMPLES["en"].split()[:11]
+    inside, edge, listed = [*w[:5], "450,", *w[5:]], [*w, "450"], [*w[:5], "4", "50", *w[5:]]
+    got = r.read([" ".join(x) for x in (w, inside, edge, listed)])
+    assert [[s[2] for s in x] for x in got] == [[], [12], [], []]
+    assert r.read(["7", "", "1 2 3 4 5 6 7 8 9 10 11 12 13", "a 1 " * 20]) == [[], [], [], []]
+
+
 def test_words_of_any_length_speak(model):
     r = G.Reader(model)
     assert np.abs(r.table[r._row("donaudampfschifffahrtselektrizitätenhauptbetriebswerk")]).max() > 0
