@@ -140,13 +140,13 @@ def stat_t_interval(spark, d):
     return g.select("experiment", "n", F.round(F.col("mean") + HALF, 6).alias("mean"), F.round(F.col("mean") - half, 6).alias("low"), F.round(F.col("mean") + half, 6).alias("high"))
 
 
-@query(f"WITH {L}, r AS (SELECT experiment, run_seed, avg(b) AS v FROM l GROUP BY 1, 2), g AS (SELECT experiment, count(*) AS runs, avg(v) AS mean, stddev_samp(v) AS sd, median(v) AS median, min(v) AS min, max(v) AS max FROM r GROUP BY 1) SELECT experiment, runs, round(mean, 6) AS mean, round(sd, 6) AS sd, round(median, 6) AS median, round(min, 6) AS min, round(max, 6) AS max, round(max - min, 6) AS range, round(sd * sqrt((runs - 1) / {C975}[runs - 1]), 6) AS sd_low, round(sd * sqrt((runs - 1) / {C025}[runs - 1]), 6) AS sd_high FROM g")
+@query(f"WITH {L}, r AS (SELECT experiment, run_seed, avg(b) AS v FROM l GROUP BY 1, 2), g AS (SELECT experiment, count(*) AS runs, avg(v) AS mean, stddev_samp(v) AS sd, median(v) AS median, min(v) AS min, max(v) AS max FROM r GROUP BY 1) SELECT experiment, runs, round(mean + 1e-11, 6) AS mean, round(sd + 1e-11, 6) AS sd, round(median + 1e-11, 6) AS median, round(min + 1e-11, 6) AS min, round(max + 1e-11, 6) AS max, round(max - min + 1e-11, 6) AS range, round(sd * sqrt((runs - 1) / {C975}[runs - 1]), 6) AS sd_low, round(sd * sqrt((runs - 1) / {C025}[runs - 1]), 6) AS sd_high FROM g")
 def agg_seed_metric(spark, d):
     """Runs, mean, deviation with its interval, median and extent of each experiment's loss over its seeds."""
     runs = losses(spark, d).groupBy("experiment", "run_seed").agg(F.avg("b").alias("v"))
     g = runs.groupBy("experiment").agg(F.count("*").alias("runs"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.median("v").alias("median"), F.min("v").alias("min"), F.max("v").alias("max"))
     edge = lambda p: F.round(F.col("sd") * F.sqrt((F.col("runs") - 1) / S.chi_square_quantile_column(F.lit(p), F.col("runs") - 1)), 6)
-    return g.select("experiment", "runs", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "median", "min", "max")], F.round(F.col("max") - F.col("min"), 6).alias("range"), edge(0.975).alias("sd_low"), edge(0.025).alias("sd_high"))
+    return g.select("experiment", "runs", *[F.round(F.col(c) + HALF, 6).alias(c) for c in ("mean", "sd", "median", "min", "max")], F.round(F.col("max") - F.col("min") + HALF, 6).alias("range"), edge(0.975).alias("sd_low"), edge(0.025).alias("sd_high"))
 
 
 @query(f"WITH {L}, g AS (SELECT experiment, count(DISTINCT run_seed) - 1 AS degrees FROM l GROUP BY 1) SELECT experiment, degrees, CASE WHEN degrees > 0 THEN round({C975}[degrees], 6) END AS q FROM g")
