@@ -54,3 +54,13 @@ def test_documents_are_ranked_once(spark, name):
     """What comes after the ranking reads it from a table, however often."""
     plan = QUERIES[name](spark, D)._jdf.queryExecution().optimizedPlan().toString()
     assert "term" not in plan and "documents" not in plan
+
+
+@pytest.mark.skipif(not Path(D).exists(), reason="no tables here")
+def test_a_record_of_corrections_ranks_once(spark, monkeypatch):
+    from inkspark.bindings import rules
+
+    plans, cut = [], rules.cut
+    monkeypatch.setattr(rules, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    QUERIES["correction_record"](spark, D)
+    assert plans and not any("term" in p or "documents" in p for p in plans)
