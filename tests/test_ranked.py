@@ -49,7 +49,7 @@ def test_bm25_without_queries_or_chunks(spark):
 
 
 @pytest.mark.skipif(not Path(D).exists(), reason="no tables here")
-@pytest.mark.parametrize("name", ["citations_validate", "ground_structural", "agg_citation_metrics", "reassess", "agg_correction_bench"])
+@pytest.mark.parametrize("name", ["citations_validate", "ground_structural", "agg_citation_metrics", "reassess", "agg_correction_bench", "refs_unresolved_count"])
 def test_documents_are_ranked_once(spark, name):
     """What comes after the ranking reads it from a table, however often."""
     plan = QUERIES[name](spark, D)._jdf.queryExecution().optimizedPlan().toString()
