@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,42 @@ def test_a_record_of_corrections_ranks_once(spark, monkeypatch):
     monkeypatch.setattr(rules, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
     QUERIES["correction_record"](spark, D)
     assert plans and not any("term" in p or "documents" in p for p in plans)
+
+
+@pytest.mark.parametrize("name", ["ground_structural"])
+def test_the_queries_of_1_gb_take_one_pass(spark, monkeypatch, name):
+    """1.2 million query terms (those of 1 GB of documents are 1.6 million) go to the chunks at once, and nothing is missed."""
+    from inkspark.bindings import retrieval
+
+    long = spark.range(100, 400, 100).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 400000), i -> concat('v', id, '_', i)), ' ')").alias("text"))
+    monkeypatch.setattr(retrieval, "_docs", lambda spark, d: long)
+    passes, cut = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: passes.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")) or cut(df))
+    df = QUERIES[name](spark, "")
+    assert max(passes) == 1 and df.count() > 0
+
+
+def test_queries_in_groups_have_the_best_chunks_of_all():
+    r = np.random.default_rng(5)
+    n, rows, v, k = 1500, 700, 300, 5
+    topic = lambda size: (r.integers(0, 3, size)[:, None] * 80 + r.integers(0, 120, (size, 20))) % v
+    held = [np.unique(np.repeat(np.arange(size), 20) * v + topic(size).reshape(-1)) for size in (n, rows)]
+    (query, term), (row, of) = (np.divmod(h, v) for h in held)
+    idf, weight = r.uniform(0.1, 6, v), r.uniform(0.3, 2.2, len(row))
+    common = np.arange(0, v, 2)
+    matrix = np.zeros((n, v))
+    matrix[query, term] = idf[term]
+    group = R._alike(matrix[:, common].astype(np.float32))
+    order = np.argsort(group, kind="stable")
+    groups = np.unique(np.r_[np.searchsorted(group[order], np.arange(group.max() + 1)), n])
+    assert len(groups) > 2
+    best = R._Best(R._Terms(np.argsort(order)[query], term, idf, common, n, groups), k)
+    for a, b in ((0, 300), (300, rows)):
+        part = (row >= a) & (row < b)
+        best.add(np.arange(a, b), row[part] - a, of[part], weight[part])
+    q, ids, score, matched = best.best()
+    x = np.zeros((rows, v))
+    x[row, of] = weight
+    want = np.round(matrix @ x.T, 6)
+    at = np.lexsort((np.broadcast_to(np.arange(rows), want.shape), -want), axis=1)[:, :k]
+    assert {(order[a], b): (c, d) for a, b, c, d in zip(q, ids, score.round(5), matched, strict=True)} == {(a, b): (want[a, b].round(5), ((matrix[a] > 0) & (x[b] > 0)).sum()) for a in range(n) for b in at[a] if want[a, b] > 0}
