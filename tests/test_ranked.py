@@ -67,12 +67,12 @@ def test_a_record_of_corrections_ranks_once(spark, monkeypatch):
     assert plans and not any("term" in p or "documents" in p for p in plans)
 
 
-@pytest.mark.parametrize("name", ["ground_structural"])
+@pytest.mark.parametrize("name", ["ground_structural", "agg_citation_metrics"])
 def test_the_queries_of_1_gb_take_one_pass(spark, monkeypatch, name):
     """1.2 million query terms (those of 1 GB of documents are 1.6 million) go to the chunks at once, and nothing is missed."""
     from inkspark.bindings import retrieval
 
-    long = spark.range(100, 400, 100).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 400000), i -> concat('v', id, '_', i)), ' ')").alias("text"))
+    long = spark.range(100, 400, 100).select(F.col("id").alias("doc_id"), F.expr("concat('same ', array_join(transform(sequence(1, 400000), i -> concat('v', id, '_', i)), ' '))").alias("text"))
     monkeypatch.setattr(retrieval, "_docs", lambda spark, d: long)
     passes, cut = [], R.cut
     monkeypatch.setattr(R, "cut", lambda df: passes.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")) or cut(df))
