@@ -67,7 +67,7 @@ def test_a_record_of_corrections_ranks_once(spark, monkeypatch):
     assert plans and not any("term" in p or "documents" in p for p in plans)
 
 
-@pytest.mark.parametrize("name", ["ground_structural", "agg_citation_metrics", "reassess", "agg_correction_bench", "correction_record"])
+@pytest.mark.parametrize("name", ["ground_structural", "agg_citation_metrics", "reassess", "agg_correction_bench", "correction_record", "refs_unresolved_count"])
 def test_the_queries_of_1_gb_take_one_pass(spark, monkeypatch, name):
     """1.2 million query terms (those of 1 GB of documents are 1.6 million) go to the chunks at once, and nothing is missed."""
     from inkspark.bindings import retrieval
