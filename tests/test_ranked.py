@@ -104,3 +104,42 @@ def test_queries_in_groups_have_the_best_chunks_of_all():
     want = np.round(matrix @ x.T, 6)
     at = np.lexsort((np.broadcast_to(np.arange(rows), want.shape), -want), axis=1)[:, :k]
     assert {(order[a], b): (c, d) for a, b, c, d in zip(q, ids, score.round(5), matched, strict=True)} == {(a, b): (want[a, b].round(5), ((matrix[a] > 0) & (x[b] > 0)).sum()) for a in range(n) for b in at[a] if want[a, b] > 0}
+
+
+def test_runs_of_folded_texts_are_their_words(spark):
+    """Bytes tell the words that a match a word tells, whatever characters and rows are next to each other."""
+    from inkspark.functions.runs import runs, word_characters
+
+    r = random.Random(7)
+    odd = ["", " ", "..a", "a..", "𝒜x𝟙 ß ẞ İstanbul ΣΑΣ ſ ﬁ éx _a_ ½ Ⅷ 中文 \0z \U0010ffff� q‍r ét", "é", "é", "\n\na b\r\nc", "中", "", "𝟙"]
+    odd += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(32, 0x250), r.randrange(0x250, 0xD800), r.randrange(0xE000, 0x110000)])) for _ in range(r.randrange(30))) for _ in range(400)]
+    df = spark.createDataFrame([(x,) for x in odd], "text string").select(T.folded(F.col("text")).alias("f"), T.words(F.col("text")).alias("w")).toArrow()
+    table = np.unpackbits(word_characters(spark)).astype(bool)
+    for part in (df, df.slice(3), df.slice(5, 0)):
+        part = part.combine_chunks()
+        n, words = runs(part.column(0).combine_chunks(), table)
+        want = part.column(1).to_pylist()
+        assert n.tolist() == [len(w) for w in want] and words.to_pylist() == [t for w in want for t in w]
+
+
+def test_the_index_of_texts_is_that_of_their_words_and_reads_them_once(spark, monkeypatch):
+    texts = [(1, "Red fox, red dog"), (2, ""), (3, None), (4, "Straße é 𝟙 straße"), (None, "lost"), (5, "red")]
+    df = spark.createDataFrame(texts, "id int, text string").repartition(3)
+    plans, cut = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda x: plans.append(x._jdf.queryExecution().optimizedPlan().toString()) or cut(x))
+    a = R.lexical_index(df, "id", T.folded(F.col("text")))
+    assert sum("LogicalRDD" in p or "text" in p for p in plans) == 1  # the texts are read by the first table only
+    b = R.lexical_index(df, "id", T.words(F.col("text")))
+    rows = lambda i: (sorted((r["chunk"], sorted(zip(r["terms"], r["tf"], strict=True))) for r in i.chunks.collect()), sorted(map(tuple, i.terms.collect())), tuple(i.size.first()))
+    assert rows(a) == rows(b)
+    assert rows(a) == ([(1, [("dog", 1), ("fox", 1), ("red", 2)]), (2, []), (3, []), (4, [("strasse", 2), ("é", 1), ("𝟙", 1)]), (5, [("red", 1)])], [("dog", 1), ("fox", 1), ("red", 2), ("strasse", 1), ("é", 1), ("𝟙", 1)], (5, 7 / 5))
+
+
+@pytest.mark.skipif(not Path(D).exists(), reason="no tables here")
+@pytest.mark.parametrize("name", ["agg_citation_metrics"])
+def test_documents_are_indexed_without_a_match_a_word(spark, monkeypatch, name):
+    """Words of all documents are told from bytes, in the pass that counts them; lists of words are made for the queries alone."""
+    plans, cut = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    QUERIES[name](spark, D)
+    assert len(plans) >= 3 and "regexp_extract_all" not in plans[0] and "array_distinct" not in plans[1]
