@@ -136,7 +136,7 @@ def test_the_index_of_texts_is_that_of_their_words_and_reads_them_once(spark, mo
 
 
 @pytest.mark.skipif(not Path(D).exists(), reason="no tables here")
-@pytest.mark.parametrize("name", ["agg_citation_metrics", "reassess", "agg_correction_bench", "correction_record"])
+@pytest.mark.parametrize("name", ["agg_citation_metrics", "reassess", "agg_correction_bench", "correction_record", "refs_unresolved_count"])
 def test_documents_are_indexed_without_a_match_a_word(spark, monkeypatch, name):
     """Words of all documents are told from bytes, in the pass that counts them; lists of words are made for the queries alone."""
     plans, cut = [], R.cut
