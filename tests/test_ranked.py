@@ -143,3 +143,29 @@ def test_documents_are_indexed_without_a_match_a_word(spark, monkeypatch, name):
     monkeypatch.setattr(R, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
     QUERIES[name](spark, D)
     assert len(plans) >= 3 and "regexp_extract_all" not in plans[0] and "array_distinct" not in plans[1]
+
+
+def test_the_index_is_packed_in_blocks_and_gives_back_every_chunk(spark):
+    """No row of its table holds a word of a text; counts above 255, more than 65,536 terms and ids of text are kept."""
+    texts = {f"c{i}": " ".join(f"w{i}_{j % (10 + i)}" for j in range(i % 7)) for i in range(2500)} | {"many": " ".join(f"v{j}" for j in range(70_000)), "often": "red " * 300 + "fox", "none": ""}
+    df = spark.createDataFrame(list(texts.items()), "id string, text string").repartition(2)
+    idx = R.lexical_index(df, "id", T.folded(F.col("text")))
+    assert [f.dataType.simpleString() for f in idx.packed.schema] == ["binary"] and idx.packed.count() < 10
+    got = {r["chunk"]: dict(zip(r["terms"], r["tf"], strict=True)) for r in idx.chunks.collect()}
+    assert got == {k: dict(Counter(t.split())) for k, t in texts.items()}
+    assert sorted(r["chunk"] for r in idx.where(lambda ids: np.isin(ids.to_pylist(), ["often", "none"])).collect()) == ["none", "often"]
+    some = df.where("id in ('often', 'c6')")
+    for sources in (None, df.select(F.col("id").alias("chunk")).where("id <> 'c13'")):
+        best = R.bm25(idx, some, "id", T.words(F.col("text")), sources=sources).collect()
+        assert [(r["query"], r["chunk"], r["matched"]) for r in sorted(best)] == [("c6", "c6", 6), ("often", "often", 2)]
+
+
+@pytest.mark.skipif(not Path(D).exists(), reason="no tables here")
+@pytest.mark.parametrize("name", ["reassess"])
+def test_documents_are_read_once_for_index_and_queries(spark, monkeypatch, name):
+    """The queries' terms are those of the index, and the ranking reads its blocks in a few tasks, which keep their floors."""
+    plans, cut = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    QUERIES[name](spark, D)
+    assert [("text#" in p, "regexp_extract_all" in p) for p in plans] == [(True, False)] + [(False, False)] * (len(plans) - 1)
+    assert "held#" in plans[-1] and "terms#" not in plans[-1]
