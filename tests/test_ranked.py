@@ -161,7 +161,7 @@ def test_the_index_is_packed_in_blocks_and_gives_back_every_chunk(spark):
 
 
 @pytest.mark.skipif(not Path(D).exists(), reason="no tables here")
-@pytest.mark.parametrize("name", ["reassess", "agg_correction_bench", "correction_record"])
+@pytest.mark.parametrize("name", ["reassess", "agg_correction_bench", "correction_record", "refs_unresolved_count"])
 def test_documents_are_read_once_for_index_and_queries(spark, monkeypatch, name):
     """The queries' terms are those of the index, and the ranking reads its blocks in a few tasks, which keep their floors."""
     plans, cut = [], R.cut
